@@ -108,11 +108,11 @@ def queries() -> dict:
 #: Searches over all pairs, which is right for a check on a small table.
 HAMMING_SQL = """
 WITH codes AS (
-  SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) BETWEEN 1 AND 64
 ), near AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.bits, r.bits), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+         CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM codes q JOIN codes r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
 ), ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM near
