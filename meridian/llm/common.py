@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that the session names.
-
-    Only where `spark.checkpoint.dir` is unset and no folder was chosen yet (a local test) is one made here."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="meridian-"))
-    return df.checkpoint(eager=True)
+from meridian.materialize import materialized as checkpointed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
