@@ -17,10 +17,15 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridian.functions import shapes
 
-GEOMETRY = "struct<kind:string,srid:int,geodetic:boolean,rings:array<array<struct<x:double,y:double>>>>"
+_POSITION = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+GEOMETRY_TYPE = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("srid", T.IntegerType()), T.StructField("geodetic", T.BooleanType()), T.StructField("rings", T.ArrayType(T.ArrayType(_POSITION))),
+])
+GEOMETRY = GEOMETRY_TYPE.simpleString()
 SRID, RADIUS = 4674, 6371008.8
 
 
@@ -229,18 +234,24 @@ def st_aswkt_point(g: Column) -> Column:
 # -- Arrow functions for general shapes
 
 
+_ARROW = {
+    "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "string": (T.StringType(), pa.string()),
+    GEOMETRY: (GEOMETRY_TYPE, pa.struct([("kind", pa.string()), ("srid", pa.int32()), ("geodetic", pa.bool_()), ("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))])),
+}
+
+
 def _arrow(result: str, f: Callable) -> Callable[..., Column]:
     """A Spark function that calls `f` with Python values; null if any of them is."""
+    spark_type, arrow_type = _ARROW[result]
 
-    @F.arrow_udf(result)
+    @F.arrow_udf(spark_type)
     def run(*columns: pa.Array) -> pa.Array:
-        kind = pa.struct([("kind", pa.string()), ("srid", pa.int32()), ("geodetic", pa.bool_()), ("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))]) if result == GEOMETRY else {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[result]
-        return pa.array([None if any(v is None for v in row) else f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
+        return pa.array([None if any(v is None for v in row) else f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], arrow_type)
 
     return run
 
 
-@F.arrow_udf(GEOMETRY)
+@F.arrow_udf(GEOMETRY_TYPE)
 def _union(groups: pa.Array) -> pa.Array:
     return pa.array([None if x is None else shapes.union([g for g in x if g is not None]) for x in groups.to_pylist()], groups.type.value_type)
 

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spellings of the complexity tiers that occur, and what they stand for.
 LEVEL_SPELLINGS = {"Facíl": "Fácil", "Facil": "Fácil", "Medio": "Médio", "Dificil": "Difícil", "Muito Dificil": "Muito Difícil"}
@@ -148,7 +149,7 @@ def geo_scores(predicted: Column, gold: Column) -> Column:
     return overlap(geo_calls(predicted), geo_calls(gold), both_empty=1.0)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
         yield pa.array([None if x is None or y is None else round(SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
