@@ -3,8 +3,10 @@
 A rule fits its host and all subdomains where the url's path starts with the rule's; the longest wins and its verdict
 stands. For the other urls a host's standing decides. A host's trust starts as the share of its pages that rules allow,
 its distrust as the share that they block. Personalised PageRank carries trust along the links between hosts, and
-distrust against them (who links to a blocked host loses standing). A host without links in that direction keeps its
-score. A host whose distrust exceeds its trust by THRESHOLD is blocked.
+distrust against them (who links to a blocked host loses standing): a host's score is its start plus DAMPING times what
+comes along its links, each host passing its score on in equal parts. That is PageRank's vector divided by one less
+the damping, so a host without links has its start for a score. A host whose distrust exceeds its trust by THRESHOLD is
+blocked.
 
 Links are the absolute and protocol-relative href values of the pages; relative ones stay on their host. Pages and
 links are summed for each host (pair) before they are shuffled, so a host with a third of all pages costs no more;
@@ -22,7 +24,7 @@ from meridian.llm.common import checkpointed
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DAMPING, ROUNDS, CLOSE, THRESHOLD = 0.85, 20, 1e-4, 0.5
+DAMPING, ROUNDS, CLOSE, THRESHOLD = 0.85, 40, 1e-4, 0.5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -65,16 +67,12 @@ def propagated(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> Data
     way = checkpointed(way.join(outgoing, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("out")).alias("share")))
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "seed"))
     linked = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct().crossJoin(start.sparkSession.createDataFrame([("trust",), ("distrust",)], "kind string"))  # two rows
-    start = start.join(linked, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed"))
-    stuck = start.join(outgoing.select("kind", F.col("src").alias("host"), F.lit(1).alias("moves")), ["kind", "host"], "left")
-    start = checkpointed(stuck.select("kind", "host", "seed", F.col("moves").isNull().alias("stays")))
+    start = checkpointed(start.join(linked, ["kind", "host"], "full").select("kind", "host", F.coalesce("seed", F.lit(0.0)).alias("seed")))
     score = start.select("kind", "host", F.col("seed").alias("score"))
     for _ in range(rounds):
         came = way.join(score, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
-        new = start.join(score, ["kind", "host"]).join(came, ["kind", "host"], "left")
-        kept = F.when(F.col("stays"), F.col("score")).otherwise(0.0)
-        new = new.select("kind", "host", ((1 - DAMPING) * F.col("seed") + DAMPING * (F.coalesce("came", F.lit(0.0)) + kept)).alias("score"), F.abs((1 - DAMPING) * F.col("seed") + DAMPING * (F.coalesce("came", F.lit(0.0)) + kept) - F.col("score")).alias("moved"))
-        new = checkpointed(new)
+        new = start.join(score, ["kind", "host"]).join(came, ["kind", "host"], "left").withColumn("new", F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0)))
+        new = checkpointed(new.select("kind", "host", F.col("new").alias("score"), F.abs(F.col("new") - F.col("score")).alias("moved")))
         moved, total = new.agg(F.sum("moved"), F.sum("score")).first()
         score = new.select("kind", "host", "score")
         if (moved or 0.0) <= CLOSE * (total or 1.0):
