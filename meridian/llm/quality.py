@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import fold_of, labelled_sample, small_batches, whole_text
 from meridian.llm.tokens import Memo
 
-BUCKETS, SAMPLE, EPOCHS = 1 << 18, 8192, 3
+BUCKETS, SAMPLE, EPOCHS, MOST_EPOCHS = 1 << 18, 8192, 3, 20
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.05
 _BIAS, _REPEAT = 0, 1
 
@@ -53,9 +53,9 @@ class Features:
             return np.array([_BIAS]), np.ones(1)
         both = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         indices, values = [[_BIAS]], [[1.0]]
+        same = np.full(int((both[1:] == both[:-1]).sum()), _REPEAT)
         for salt, h in ((1, both & 0x7FFFFFFF), (2, both >> 32)):
             pairs = (h[:-1] * 0x9E3779B1 + h[1:] * 0x85EBCA6B + salt) >> 7
-            same = np.full(int((h[1:] == h[:-1]).sum()) if salt == 1 else 0, _REPEAT)
             found, n = np.unique(np.concatenate([2 + (h + salt) % (BUCKETS - 2), 2 + pairs % (BUCKETS - 2), same]), return_counts=True)
             x = np.log1p(n)
             indices.append(found)
@@ -87,6 +87,8 @@ def sigmoid(v):
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> np.ndarray:
+    """The weights after `epochs` passes, more (MOST_EPOCHS at most) where the texts are few."""
+    epochs = max(epochs, min(MOST_EPOCHS, 2 * SAMPLE // max(1, len(texts))))
     features, model = Features(), Ftrl()
     rows = [features(t) for t in texts]
     for _ in range(epochs):
