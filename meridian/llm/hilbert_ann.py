@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import checkpointed, quoted, small_batches
 
 ORDERINGS, DIMENSIONS, BITS = 4, 4, 6
-BLOCK, PILOTS, RECALL = 4096, 64, 0.95
+BLOCK, PILOTS, RECALL = 4096, 128, 0.97
 _TIE = 1 << 16
 
 
