@@ -63,7 +63,7 @@ WORKLOAD = {
     "anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "having_filter": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) >= 15 AND MAX(o_totalprice) > 100000",
     "aggregates": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS quantity, ROUND(AVG(l_discount)::numeric, 4)::double precision AS discount, MIN(l_shipdate) AS first, MAX(l_shipdate) AS last FROM lineitem GROUP BY l_returnflag, l_linestatus",
-    "filtered_aggregates": "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS done, SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS open FROM orders GROUP BY o_orderpriority",
+    "filtered_aggregates": "SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS done, SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::bigint AS open FROM orders GROUP BY o_orderpriority",
     "rank_window": "SELECT o_orderkey, RANK() OVER (ORDER BY o_totalprice DESC) AS place, DENSE_RANK() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC) AS own FROM orders",
     "running_window": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events",
     "moving_window": "SELECT o_orderkey, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM orders",
@@ -438,7 +438,7 @@ def best_checkpoint(spark, sf_dir):
     return report.best_checkpoint(log).select("step", F.round("eval_loss", 4).alias("eval_loss"))
 
 
-@query("SELECT sum(p_size) AS total, sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) AS trainable, round(100.0::DOUBLE * sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) / sum(p_size), 4) AS percent FROM part")
+@query("SELECT CAST(sum(p_size) AS BIGINT) AS total, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS trainable, round(100.0::DOUBLE * sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) / sum(p_size), 4) AS percent FROM part")
 def parameter_counts(spark, sf_dir):
     return report.parameter_counts(t(spark, sf_dir, "part").selectExpr("CAST(p_size AS BIGINT) AS count", "p_partkey % 3 = 0 AS trainable"))
 
