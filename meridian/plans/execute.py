@@ -124,6 +124,11 @@ def audit(spark: SparkSession, corpus: DataFrame, run: bool = False, seconds: fl
     return spark.createDataFrame(out, AUDIT)
 
 
+def status_counts(audited: DataFrame) -> DataFrame:
+    """How many queries of an audit have each status."""
+    return audited.groupBy("status").count()
+
+
 def tidy(sql: str) -> str:
     """A query's text as the parser writes it."""
     return sql_text(parse(sql))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import geo, text
@@ -604,3 +604,50 @@ def table_fingerprint(spark, sf_dir):
 @query()
 def file_digests(spark, sf_dir):
     return files.md5_of_files(spark, f"{sf_dir}/nation.parquet").select("length", "md5")
+
+
+# -- beyond the workload: one query for each kind that large tables of events need
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    w = t(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events),
+  s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):
+    s = t(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("user_id", F.col("w.start").alias("first"), "n")
+
+
+@query("""WITH p AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+  SELECT event_id, (SELECT max(p.ts) FROM p WHERE p.user_id = c.user_id AND p.ts <= c.ts) AS bought FROM c""")
+def as_of_join(spark, sf_dir):
+    """Each click with its user's last purchase so far: one pass over both in order of time, no join."""
+    e = t(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')")
+    so_far = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = e.withColumn("bought", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(so_far))
+    return seen.where("event_type = 'click'").select("event_id", "bought")
+
+
+@query("SELECT a.p_partkey AS a, count(*) AS n FROM part a JOIN part b ON b.p_retailprice BETWEEN a.p_retailprice AND a.p_retailprice + 0.5 WHERE a.p_size < 5 GROUP BY 1")
+def interval_join(spark, sf_dir):
+    """Prices in an interval: an equi-join on buckets as wide as the interval, then the exact test."""
+    part = t(spark, sf_dir, "part")
+    bucket = F.floor(F.col("p_retailprice") / 0.5)
+    a = part.where("p_size < 5").select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("low"), F.explode(F.array(bucket, bucket + 1)).alias("k"))
+    b = part.select(F.col("p_retailprice").alias("price"), bucket.alias("k"))
+    return a.join(b, "k").where((F.col("price") >= F.col("low")) & (F.col("price") <= F.col("low") + 0.5)).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def approximate_aggregates(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.percentile_approx("value", 0.5, 1000).alias("median"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) > 50")
+def json_path(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return t(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k > 50")

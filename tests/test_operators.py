@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meridian.functions import console
 from meridian.operators import compare, report, sequences, split
 from meridian.plans import execute
 from meridian.plans.dialect import to_spark
@@ -133,6 +134,13 @@ def test_files(spark, tmp_path):
     assert files.load_run_id(str(tmp_path / "r")) == "abc" and files.load_run_id(str(tmp_path / "none")) is None
     assert files.masked_uri("postgresql://u:secret@h/db") == "postgresql://u:****@h/db"
     audit = execute.audit(spark, spark.createDataFrame([("1", "e", "SELECT 1"), ("2", "e", "SELECT x")], "id string, level string, sql_code string"))
+    assert {r.status: r["count"] for r in execute.status_counts(audit).collect()} == {"ok": 1, "error": 1}
     files.write_failures(audit, f"{tmp_path}/failures")
     assert [r.id for r in files.read_table(spark, f"{tmp_path}/failures/*.csv").collect()] == ["2"]
     assert files.consolidated({"v1": df, "v2": df}).count() == 4
+
+
+def test_console():
+    assert console.padded("\x1b[31mab\x1b[0m", 4) == "\x1b[31mab\x1b[0m  " and console.progress_bar(2.0, 4) == "####" and console.progress_bar(-1, 4) == "...."
+    assert console.badge(None) == "n/a" and console.marked("correct")[0] == "✔" and console.marked("wrong_limit")[0] == "~" and console.marked("parse_error")[0] == "✘"
+    assert console.banner("x", 5).split("\n")[1] == "  x"
