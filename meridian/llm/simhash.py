@@ -120,9 +120,12 @@ def _within(a: Column, b: Column, most: int) -> Column:
 
 
 def links(nodes: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Edges (u, v) of distinct fingerprints, u > v, whose components are those of all pairs within `most` (2 at most) bits.
+    """Edges (u, v) of distinct fingerprints, u > v, whose components are those of all pairs within `most` bits.
 
-    `nodes` has one column fp of distinct values and is read more than once: give a checkpoint."""
+    `nodes` has one column fp of distinct values and is read more than once: give a checkpoint. Other thresholds than
+    two bits are refused, as crowded buckets have no exact way for them."""
+    if most != 2:
+        raise ValueError("fingerprints are linked within two bits")
     total = nodes.count()
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     chosen = [(i, group, t) for i, (group, t) in enumerate(plan(sample, total, most)) if t >= 0]
@@ -145,7 +148,7 @@ def links(nodes: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
     large = sizes.where(F.col("n") > bucket).select("part", "key")
     if not large.isEmpty():
         crowded = probes.join(large, ["part", "key"], "left_semi").select("fp").distinct()
-        around = [F.lit(0).cast("long"), *(F.lit(mask_of([b])) for b in range(64))] if most == 2 else [F.lit(0).cast("long")]
+        around = [F.lit(0).cast("long"), *(F.lit(mask_of([b])) for b in range(64))]
         codes = crowded.select("fp", F.explode(F.array(*(F.col("fp").bitwiseXOR(x) for x in around))).alias("code"))
         shared = codes.groupBy("code").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)  # 65 at most
         stars = shared.select(F.explode("near").alias("u"), F.array_min("near").alias("v")).where("u > v")

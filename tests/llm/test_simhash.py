@@ -84,3 +84,8 @@ def test_null_ids_do_not_name_a_class(spark):
     got = {r.fp: r.component_id for r in simhash.near_duplicates(df).collect()}
     assert got == {0: 5, 1: 5, 1 << 40: 5}
     assert {r.fp: r.component_id for r in simhash.near_duplicates(df.where(F.col("id").isNull() & (F.col("fp") > 0))).collect()} == {1 << 40: None}
+
+
+def test_other_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), most=3)
