@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import quoted, small_batches, whole_text
-from meridian.llm.tokens import Memo, Segments, mapped, pattern, vocabulary
+from meridian.llm.tokens import Segments, mapped, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -41,8 +41,7 @@ class Counter:
             self.merges.setdefault((self.number[a], self.number[b]), (rank, self.number[a + b]))
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.pre_token = Memo(self.merged)
-        self.segments = Segments(lambda s: sum(map(self.pre_token.__getitem__, pattern().findall(s))))
+        self.segments = Segments(self.merged, sum)
 
     def merged(self, word: str) -> int:
         """The number of symbols that are left of a pre-token."""

@@ -15,6 +15,8 @@ CACHE_ENTRIES = 400_000
 
 #: White space right before a blank or line break: there a cut at the second one would part a run of white space.
 _RUN = re.compile(r"\s[ \n]")
+#: A word of Latin letters with at most one mark after it.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+([.,!?;:]|)")
 
 
 @cache
@@ -79,10 +81,22 @@ class Segments:
     split as it would be in the text. Where white space is followed by a blank or line break, the text is taken as
     one segment instead."""
 
-    def __init__(self, value_of: Callable[[str], object]):
-        self.value_of = value_of
-        self.whole = Memo(value_of)
-        self.after_blank = Memo(lambda word: value_of(" " + word))
+    def __init__(self, pre_token: Callable[[str], object], total: Callable[[list], object]):
+        """pre_token: a match's value; total: of several."""
+        self.pre_token, self.total = pre_token, total
+        self.match = Memo(pre_token)
+        self.whole = Memo(self.value_of)
+        self.after_blank = Memo(lambda word: self.value_of(" " + word))
+
+    def value_of(self, segment: str):
+        if m := _WORD.fullmatch(segment):  # one match or two, as the pattern has it
+            return self.total([self.pre_token(segment[:-1]), self.match[m[1]]]) if m[1] else self.pre_token(segment)
+        return self.total([self.match[x] for x in pattern().findall(segment)])
+
+    def unseen(self, texts: list[str]) -> set[str]:
+        """Pre-tokens, a blank and a word each, that values() would compute for these texts; not all of them."""
+        words = set().union(*(t.replace("\n", " ").split(" ") for t in texts)) - self.after_blank.keys()
+        return {" " + w[: m.start(1)] for w in words if (m := _WORD.fullmatch(w)) and w[0] != " "}
 
     def values(self, text: str) -> list:
         if _RUN.search(text):
