@@ -183,23 +183,27 @@ def near_duplicates(prints: DataFrame, most: int = 2) -> DataFrame:
     return rooted.join(least, "root").select("fp", "root", "component_id", "copies")
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
-    """The rows of `docs` of which one stays for each component: that of the least id (null ids last), then of the least hash of its text.
+def one_of_each(hashed: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of `hashed` of which one stays for each root: that of the least id (null ids last), then of the least hash of its text.
 
-    All columns are kept. A row is known by its id and its text's hash; the decisions are made on those and the
-    fingerprints alone, and texts are shuffled once, to meet them."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64(whole_text(text_col))).withColumn("__id", F.col(quoted(id_col)))
-    prints = checkpointed(fingerprints(hashed, ["__id", "__text_hash"], text_col).withColumnRenamed("__id", "id"))
-    classes = near_duplicates(prints, most)
+    `hashed` has columns __id and __text_hash, which know a row; `prints` has them as id and __text_hash, and fp; `roots` has fp and root."""
     order = F.struct(F.col("id").isNull(), "id", "__text_hash")
     keep = (
         prints.groupBy("id", "__text_hash", "fp").agg(F.count(F.lit(1)).alias("__rows"))
-        .join(classes.select("fp", "root"), "fp")
+        .join(roots, "fp")
         .groupBy("root").agg(F.min_by(F.struct("id", "__text_hash", "__rows"), order).alias("kept"))
         .select("kept.*").withColumnRenamed("id", "__kept").withColumnRenamed("__text_hash", "__kept_hash")
     )
     kept = hashed.join(keep, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text_hash") == F.col("__kept_hash")))
-    names = [F.col(quoted(c)) for c in docs.columns]
-    once = kept.where("__rows = 1").select(*names)
-    again = kept.where("__rows > 1").dropDuplicates(["__id", "__text_hash"]).select(*names)
-    return once.unionByName(again)
+    return kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__text_hash"]))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
+    """The rows of `docs` of which one stays for each component, chosen as in one_of_each.
+
+    All columns are kept. A row is known by its id and its text's hash; the decisions are made on those and the
+    fingerprints alone, and texts are shuffled once, to meet them."""
+    hashed = docs.withColumn("__text_hash", F.xxhash64(whole_text(text_col))).withColumn("__id", F.col(quoted(id_col)))
+    prints = checkpointed(fingerprints(hashed, ["__id", "__text_hash"], text_col).withColumnRenamed("__id", "id"))
+    roots = near_duplicates(prints, most).select("fp", "root")
+    return one_of_each(hashed, prints, roots).select(*(F.col(quoted(c)) for c in docs.columns))
