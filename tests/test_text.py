@@ -53,6 +53,13 @@ def test_token_scores_and_similarity(spark):
         assert r.s == round(difflib.SequenceMatcher(None, x, y).ratio(), 4)
 
 
+def test_similarity_of_long_texts(spark):
+    long = "select " + ", ".join(f"c{i}" for i in range(5000)) + " from t"
+    pairs = [(long, long), (long, long.replace("c77,", "d77,"))]
+    got = values(spark, pairs, text.similarity(F.col("a"), F.col("b")))
+    assert len(long) > 20_000 and got == [1.0, round(difflib.SequenceMatcher(None, *pairs[1]).ratio(), 4)]
+
+
 def test_geo_scores(spark):
     got = values(spark, PAIRS + [(None, None)], text.geo_scores(F.col("a"), F.col("b")))
     assert [(r.tp, r.fp, r.fn, r.f1) for r in got] == [(0, 0, 0, 1.0), (0, 0, 0, 1.0), (1, 1, 1, 0.5), (0, 0, 0, 1.0), (0, 0, 0, 1.0)]
