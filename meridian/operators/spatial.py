@@ -103,9 +103,8 @@ def nearest(a: DataFrame, b: DataFrame, key: str, xy_a: tuple[Column, Column], x
     A round looks at the cells within one cell of a point, then the cell doubles for the rows whose k-th distance is
     not yet within what has been looked at; rows that fewer than k points can serve end when one cell holds all."""
     place = lambda c, size: F.floor(c / F.lit(size))
-    extent = b.agg(F.max(xy_b[0]) - F.min(xy_b[0]), F.max(xy_b[1]) - F.min(xy_b[1])).first()
-    reach = a.agg(F.max(F.abs(xy_a[0])), F.max(F.abs(xy_a[1]))).first()
-    widest = max([0.0, *(float(v) for v in (*extent, *reach) if v is not None)]) * 4 + cell
+    reach = [v for df, xy in ((a, xy_a), (b, xy_b)) for v in df.agg(*(F.max(F.abs(c)) for c in xy)).first()]
+    widest = max([0.0, *(float(v) for v in reach if v is not None)])  # beyond it all points are in the four cells around the origin
     todo, out, size = a, None, cell
     for _ in range(rounds):
         right = b.withColumn(_CX, F.explode(F.array(*(place(xy_b[0], size) + i for i in (-1, 0, 1))))).withColumn(_CY, F.explode(F.array(*(place(xy_b[1], size) + i for i in (-1, 0, 1)))))

@@ -144,3 +144,14 @@ def test_console():
     assert console.padded("\x1b[31mab\x1b[0m", 4) == "\x1b[31mab\x1b[0m  " and console.progress_bar(2.0, 4) == "####" and console.progress_bar(-1, 4) == "...."
     assert console.badge(None) == "n/a" and console.marked("correct")[0] == "✔" and console.marked("wrong_limit")[0] == "~" and console.marked("parse_error")[0] == "✘"
     assert console.banner("x", 5).split("\n")[1] == "  x"
+
+
+@pytest.mark.parametrize("ox,oy", [(100.0, 100.0), (-3000.0, 40.0), (1e6, -1e6)])
+def test_nearest_of_far_points(spark, ox, oy):
+    from meridian.operators import spatial
+
+    a = [(i, i / 7, i * i % 5 / 5) for i in range(7)]
+    b = [(j, ox + j * 3 % 10 / 10, oy + j * 7 % 10 / 10) for j in range(10)]
+    found = spatial.nearest(spark.createDataFrame(a, "k long, x double, y double"), spark.createDataFrame(b, "j long, sx double, sy double"), "k", (F.col("x"), F.col("y")), (F.col("sx"), F.col("sy")), 3, ["j"], 0.3)
+    want = {(k, n + 1, j) for k, x, y in a for n, (_, j) in enumerate(sorted((((sx - x) ** 2 + (sy - y) ** 2) ** 0.5, j) for j, sx, sy in b)[:3])}
+    assert {(r.k, r["rank"], r.j) for r in found.collect()} == want
