@@ -24,7 +24,8 @@ from meridian.llm.common import checkpointed
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DAMPING, ROUNDS, CLOSE, THRESHOLD = 0.85, 40, 1e-4, 0.5
+#: Rounds end when every score is within CLOSE of its limit; ROUNDS is far beyond what that takes, and reaching it is an error.
+DAMPING, ROUNDS, CLOSE, THRESHOLD = 0.85, 1000, 1e-4, 0.5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LINK = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
@@ -73,10 +74,13 @@ def propagated(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> Data
         came = way.join(score, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("came"))
         new = start.join(score, ["kind", "host"]).join(came, ["kind", "host"], "left").withColumn("new", F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0)))
         new = checkpointed(new.select("kind", "host", F.col("new").alias("score"), F.abs(F.col("new") - F.col("score")).alias("moved")))
-        moved, total = new.agg(F.sum("moved"), F.sum("score")).first()
+        # What moves comes along by DAMPING in sum, so all rounds to come move no host by more than this.
+        to_come = (new.agg(F.sum("moved")).first()[0] or 0.0) * DAMPING / (1 - DAMPING)
         score = new.select("kind", "host", "score")
-        if (moved or 0.0) <= CLOSE * (total or 1.0):
+        if to_come <= CLOSE:
             break
+    else:
+        raise RuntimeError("the scores did not come to rest")
     return score.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
 
 

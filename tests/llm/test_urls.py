@@ -69,6 +69,13 @@ def test_judgement(spark, pages, monkeypatch):
         assert r.verdict == (verdict or "allow")
 
 
+def test_unlinked_hosts_do_not_end_the_rounds(spark):
+    chain = [(1, "http://w.org/", '<a href="http://x.org/">'), (2, "http://x.org/", '<a href="http://bad.net/es/">'), (3, "http://bad.net/es/", "")]
+    rows = urls.judge(spark.createDataFrame(chain + [(i, f"http://h{i}.com/", "") for i in range(10, 10_010)], "page_id long, url string, html string")).where("id < 10").collect()
+    scores = brute_scores(chain, rounds=10)
+    assert len(rows) == 3 and all(r.distrust == pytest.approx(scores["distrust"][r.host], abs=1e-4) and r.verdict == "block" for r in rows)
+
+
 def test_distrust_flows_back_along_links(spark):
     rows = {r.id: r.verdict for r in urls.judge(spark.createDataFrame(PAGES, "page_id long, url string, html string")).collect()}
     assert rows[6] == "block" and rows[14] == "block" and rows[13] == "allow"
