@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meridian.materialize import materialized as checkpointed
+from meridian.materialize import discarded, materialized as checkpointed
+
+__all__ = ["checkpointed", "discarded", "fold_of", "fresh", "known", "labelled_sample", "quoted", "small_batches", "table", "tidy", "within_bytes", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,12 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, hash, text): each row whole, its id, its text and the text's hash, so that no column's name can clash."""
+    text = whole_text(text_col)
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and about `most_bytes` bytes, so that what Python derives from a slice stays small.
 
@@ -50,6 +60,29 @@ def _sliced_bytes(batch: pa.RecordBatch) -> int:
     return batch.nbytes
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, after which the worker gives its freed memory back to the system: workers serve many operators."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
+
+
+def within_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, int]]:
+    """(text, label) of the rows of a sample that fit into `most` bytes of text, one by one; a row that does not fit is left out."""
+    for b in small_batches(batches):
+        for text, label in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
+            size = len(text.as_buffer())
+            if size <= most:
+                most -= size
+                yield text.as_py(), label
+
+
 def fold_of(doc_id: str, modulus: int) -> Column:
     """The fold of a row: the CRC-32 of its id, written in decimal, modulo `modulus` (null ids: null)."""
     return F.crc32(F.col(quoted(doc_id)).cast("string").cast("binary")) % F.lit(modulus)

@@ -2,9 +2,9 @@
 
 A text's features are its words, pairs of words, shapes of words and pairs of shapes, hashed to BUCKETS weights; a pair
 of equal words is also hashed as one and the same feature. Counts go in as logarithms, words and shapes each scaled to
-length 1. FTRL-proximal updates the weights after each text (per-coordinate rates, L1 and L2), in one task that reads
-a sample of at most SAMPLE labelled rows in the order of a hash. A score is a sparse dot product through the
-logistic function, with no shuffle.
+length 1. FTRL-proximal updates the weights after each text (per-coordinate rates, L1 and L2), pass after pass until a
+pass makes the mean loss less by under GAIN, in one task that reads a sample of at most SAMPLE labelled rows and
+SAMPLE_BYTES of text in the order of a hash. A score is a sparse dot product through the logistic function, with no shuffle.
 
 Null texts count as empty and score by the bias alone; without any labelled row all scores are 0.5. Labels that are
 null or have null ids are left out. Rows are kept one for one. Texts are scored whole. The model's size is fixed.
@@ -13,7 +13,7 @@ null or have null ids are left out. Rows are kept one for one. Texts are scored
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import fold_of, labelled_sample, small_batches, whole_text
+from meridian.llm.common import fold_of, labelled_sample, tidy, whole_text, within_bytes
 from meridian.llm.tokens import Memo
 
-BUCKETS, SAMPLE, EPOCHS, MOST_EPOCHS = 1 << 18, 8192, 3, 20
+BUCKETS, SAMPLE, SAMPLE_BYTES, GAIN = 1 << 18, 8192, 128 << 20, 0.005
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.05
 _BIAS, _REPEAT = 0, 1
 
@@ -34,7 +34,7 @@ _SHAPES = [(re.compile(p), s) for p, s in ((r"[^\W\d_]+", lambda m: "".join(dict
 def shape(word: str) -> str:
     for pattern, by in _SHAPES:
         word = pattern.sub(by, word)
-    return word[:24]
+    return word
 
 
 def _codes(word: str) -> int:
@@ -74,45 +74,45 @@ class Ftrl:
         w = (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)
         return np.where(np.abs(z) <= L1, 0.0, w)
 
-    def update(self, at: np.ndarray, x: np.ndarray, y: int) -> None:
+    def update(self, at: np.ndarray, x: np.ndarray, y: int) -> float:
+        """Learns from a text; returns the loss before."""
         w = self.weights(at)
-        g = (sigmoid(w @ x) - y) * x
+        p = sigmoid(w @ x)
+        g = (p - y) * x
         step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         np.add.at(self.z, at, g - step * w)  # an index may occur for words and for shapes
         np.add.at(self.n, at, g * g)
+        return -float(np.log(p if y else 1 - p))
 
 
 def sigmoid(v):
     return 1.0 / (1.0 + np.exp(-np.clip(v, -35, 35)))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> np.ndarray:
-    """The weights after `epochs` passes, more (MOST_EPOCHS at most) where the texts are few."""
-    epochs = max(epochs, min(MOST_EPOCHS, 2 * SAMPLE // max(1, len(texts))))
-    features, model = Features(), Ftrl()
-    rows = [features(t) for t in texts]
-    for _ in range(epochs):
-        for (at, x), y in zip(rows, labels, strict=True):
-            model.update(at, x, y)
+def fit(rows: Iterable[tuple[str, int]], gain: float = GAIN) -> np.ndarray:
+    """The weights learnt from texts and labels. Passes end, as the loss cannot fall for ever by `gain`."""
+    features, model, last = Features(), Ftrl(), np.inf
+    learnt = [(*features(t), y) for t, y in rows]
+    while learnt:
+        loss = sum(model.update(at, x, y) for at, x, y in learnt) / len(learnt)
+        if last - loss < gain:
+            break
+        last = loss
     return model.weights().astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> np.ndarray:
-    """The weights learnt from labels.quality of at most `sample` rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """The weights learnt from labels.quality of at most `sample` rows outside the held-out fold, of `sample_bytes` in all."""
     rows = labelled_sample(docs, labels, "quality", fold_of("doc_id", folds) != held_out, sample)
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], []
-        for b in batches:
-            texts += b.column("text").to_pylist()
-            y += b.column("label").to_pylist()
-        w = fit(texts, y) if texts else np.zeros(BUCKETS, np.float32)
+        w = fit(within_bytes(batches, sample_bytes))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float32())], ["at", "w"])
 
     weights = np.zeros(BUCKETS, np.float32)
-    for row in rows.mapInArrow(run, "at int, w float").collect():  # BUCKETS rows at most
+    for row in rows.mapInArrow(tidy(run), "at int, w float").collect():  # BUCKETS rows at most
         weights[row[0]] = row[1]
     return weights
 
@@ -121,10 +121,13 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Colum
     """A column of `docs`: the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.arrow_udf("double")
-    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, w = Features(), shared.value
-        for texts in batches:
+        for texts in batches:  # one text at a time in Python
             yield pa.array([float(sigmoid(w[at] @ x)) for at, x in (features(t) for t in (s.as_py() for s in texts))], pa.float64())
 
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(run)(batches)
+
     return scores(whole_text(text_col))

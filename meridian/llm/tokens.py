@@ -6,12 +6,13 @@ import base64
 import re
 from collections.abc import Callable
 from functools import cache
+from sys import getsizeof
 
 import public_tokenizers
 import regex
 
-#: Entries that a worker's cache of segments may hold before it starts afresh.
-CACHE_ENTRIES = 400_000
+#: Bytes, as estimated, that a worker's cache of segments may take before it starts afresh.
+CACHE_BYTES = 24 << 20
 
 #: White space right before a blank or line break: there a cut at the second one would part a run of white space.
 _RUN = re.compile(r"\s[ \n]")
@@ -60,16 +61,21 @@ def pattern() -> regex.Pattern:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts afresh when it has CACHE_ENTRIES."""
+    """A dict that computes what it lacks and starts afresh when it has CACHE_BYTES; what would take a large share of them it does not keep."""
 
     def __init__(self, compute: Callable):
         super().__init__()
-        self.compute = compute
+        self.compute, self.room = compute, CACHE_BYTES
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        size = getsizeof(key) + getsizeof(value) + 112  # a dict's own share of an entry
+        if size <= CACHE_BYTES >> 6:
+            if size > self.room:
+                self.clear()
+                self.room = CACHE_BYTES
+            self.room -= size
+            self[key] = value
         return value
 
 

@@ -4,10 +4,11 @@ The lexicon is learnt from labelled rows: words, and beginnings of words, that s
 contexts (the words before and after) of toxic texts and hardly in clean ones; counting contexts, copies of a text count
 once. The lexicon's trie is intersected with the Levenshtein automaton of as many edits as a term's length allows (none
 under 5 letters, one under 9, else two); the product's states are made as texts need them. A word of a text so is a
-term, a misspelt one, or neither. A window of characters around it tells quotation (quotation marks that enclose it,
-words of reporting) from address. Logistic regression with a Gaussian prior weighs the kinds of hits.
+term, a misspelt one, or neither. Its context tells quotation (a pair of quotation marks on its line that encloses it,
+words of reporting in a window of characters) from address. Logistic regression with a Gaussian prior weighs the kinds
+of hits, each by the logarithm of how many there are.
 
-The trainer is one task that reads a sample of at most SAMPLE labelled rows. Null texts count as empty; they and texts
+The trainer is one task that reads a sample of at most SAMPLE labelled rows and SAMPLE_BYTES of text. Null texts count as empty; they and texts
 without hits score by the bias. Without labelled rows the lexicon is empty and the prior decides. Rows are kept one for
 one; texts are scored whole, with no shuffle.
 """
@@ -16,26 +17,31 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import fold_of, labelled_sample, whole_text
+from meridian.llm.common import fold_of, labelled_sample, tidy, whole_text, within_bytes
 from meridian.llm.quality import sigmoid
 from meridian.llm.tokens import Memo
 
-SAMPLE, SUPPORT, PURITY, STEM = 6144, 3, 0.9, 4
+SAMPLE, SAMPLE_BYTES, SUPPORT, PURITY, STEM = 6144, 128 << 20, 3, 0.9, 4
+#: States of the product that a worker keeps before it starts afresh.
+STATES = 50_000
 WORD = re.compile(r"[^\W\d_]+(?:\d+[^\W\d_]+)*")
 WINDOW = 40
 
 #: Words that report another's words, and words that address somebody.
 REPORTING = frozenset("said says saying called calls wrote writes quote quoted quotes word term phrase".split())
 ADDRESS = frozenset("you your youre ur".split())
-_PAIRS = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
+#: Pairs of quotation marks; a quotation ends on its line.
+QUOTED = re.compile('"[^"\n]*"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»|‘[^’\n]*’')
 
 #: Kinds of hits: as the lexicon has it or misspelt; a whole word or a beginning; each plain or quoted. Prior means of their weights.
 PRIOR = np.array([-4.0, 6.0, 1.5, 6.0, 1.5, 4.0, 0.5, 1.5, 0.0])
@@ -108,7 +114,7 @@ class Matcher:
 
     def __call__(self, word: str) -> int:
         """0: no hit; else 1 + 2 * misspelt + beginning."""
-        if len(self.states) > 200_000:
+        if len(self.states) > STATES:
             self.__init_states()
         state, stem = self.start, None
         for c in word:
@@ -130,18 +136,18 @@ class Matcher:
         self.start = self._state({(0, 0)})
 
 
-def quotation(text: str, start: int, end: int) -> bool:
-    """Whether the words around a hit report it rather than address somebody by it."""
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The stretches of a text that pairs of quotation marks enclose, in order and apart."""
+    return [m.span() for m in QUOTED.finditer(text)]
+
+
+def quotation(text: str, start: int, end: int, marks: list[tuple[int, int]]) -> bool:
+    """Whether the words around a hit report it rather than address somebody by it. marks: quotations(text)."""
+    at = bisect(marks, (start, len(text))) - 1
+    enclosed = at >= 0 and marks[at][0] < start and end < marks[at][1]
     left, right = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    for opening, closing in _PAIRS.items():
-        at = left.rfind(opening)
-        if at >= 0 and (opening == closing or closing not in left[at + 1 :]) and closing in right and (opening != closing or left.count(opening) % 2):
-            marks = 1
-            break
-    else:
-        marks = 0
     near = [w.lower() for w in [*WORD.findall(left)[-4:], *WORD.findall(right)[:3]]]
-    return marks + any(w in REPORTING for w in near) - any(w in ADDRESS for w in near) > 0
+    return enclosed + any(w in REPORTING for w in near) - any(w in ADDRESS for w in near) > 0
 
 
 class Scorer:
@@ -158,11 +164,12 @@ class Scorer:
         lower = text.lower()
         if len(lower) != len(text):  # a lower-casing that changes lengths would shift the windows
             text = lower
-        hit = [w for w in set(WORD.findall(lower)) if self.kind[w]]
-        if hit:
-            for m in re.finditer(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, sorted(hit, key=len, reverse=True))) + r")(?![^\W_])", lower):
-                x[2 * self.kind[m[0]] - (not quotation(text, *m.span()))] += 1
-        x[1:] = np.log1p(np.minimum(x[1:], 8)) / np.log(2)
+        if any(map(self.kind.__getitem__, set(WORD.findall(lower)))):
+            marks = quotations(text)
+            for m in WORD.finditer(lower):
+                if kind := self.kind[m[0]]:
+                    x[2 * kind - (not quotation(text, *m.span(), marks))] += 1
+        x[1:] = np.log1p(x[1:]) / np.log(2)
         return x
 
     def __call__(self, text: str) -> float:
@@ -183,17 +190,18 @@ def lexicon(texts: list[str], labels: list[int]) -> list[tuple[str, bool]]:
     rate = min(0.5, sum(len(t) for t, y in zip(texts, labels, strict=True) if y) / max(1, sum(map(len, texts))))
     toxic, clean = defaultdict(set), defaultdict(set)
 
-    def contexts(text: str) -> Iterator[tuple[str, str, str]]:
+    def contexts(text: str) -> Iterator[tuple[str, int]]:
         words = WORD.findall(text.lower())
-        return zip(words, ["", *words], [*words[1:], ""], strict=False)
+        for w, before, after in zip(words, ["", *words], [*words[1:], ""], strict=False):
+            yield w, crc32(f"{before} {after}".encode("utf-8", "surrogatepass"))
 
     for text, y in zip(texts, labels, strict=True):
-        for w, before, after in contexts(text) if y else ():
-            toxic[w].add(hash((before, after)))
+        for w, c in contexts(text) if y else ():
+            toxic[w].add(c)
     for text, y in zip(texts, labels, strict=True):
-        for w, before, after in contexts(text) if not y else ():
+        for w, c in contexts(text) if not y else ():
             if w in toxic:
-                clean[w].add(hash((before, after)))
+                clean[w].add(c)
     stems, clean_stems = defaultdict(int), defaultdict(int)
     for w, c in toxic.items():
         for n in range(STEM, len(w) + 1):
@@ -239,35 +247,33 @@ def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> dict:
-    """The words that only look misspelt come from half of the clean texts, the weights from the other half and the toxic ones."""
-    terms = lexicon(texts, labels)
+def fit(rows: Iterable[tuple[str, int]]) -> dict:
+    """The model learnt from texts and labels. The words that only look misspelt come from half of the clean texts, the
+    weights from the other half and the toxic ones."""
+    rows = list(rows)
+    terms = lexicon([t for t, _ in rows], [y for _, y in rows])
     matcher, clean = Matcher(terms), set()
-    half = [t for t, y in zip(texts, labels, strict=True) if not y][::2]
-    for t in half:
+    for t in [t for t, y in rows if not y][::2]:
         clean |= {w for w in set(WORD.findall(t.lower())) if matcher(w) > 2}
     scorer = Scorer({"terms": terms, "clean": clean, "weights": PRIOR})
     rest, n = [], 0
-    for t, y in zip(texts, labels, strict=True):
+    for t, y in rows:
         if y or (n := n + 1) % 2 == 0:
             rest.append((scorer.features(t), y))
     weights = regression(np.array([x for x, _ in rest]), np.array([float(y) for _, y in rest])) if rest else PRIOR
     return {"terms": terms, "clean": clean, "weights": weights}
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> dict:
-    """The model learnt from labels.toxic of at most `sample` rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """The model learnt from labels.toxic of at most `sample` rows outside the held-out fold, of `sample_bytes` in all."""
     rows = labelled_sample(docs, labels, "toxic", fold_of("doc_id", folds) != held_out, sample)
     rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], []
-        for b in batches:
-            texts += b.column("text").to_pylist()
-            y += b.column("label").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], ["model"])
+        model = pickle.dumps(fit(within_bytes(batches, sample_bytes)))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    models = [r[0] for r in rows.mapInArrow(run, "model binary").collect()]  # one; its size follows from the sample
+    models = [r[0] for r in rows.mapInArrow(tidy(run), "model binary").collect()]  # one; its size follows from the sample
     return pickle.loads(models[0]) if models else {"terms": [], "clean": set(), "weights": PRIOR}
 
 
@@ -275,10 +281,13 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     """A column of `docs`: the probability that a text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for texts in batches:
+        for texts in batches:  # one text at a time in Python
             yield pa.array([scorer(t.as_py()) for t in texts], pa.float64())
 
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(run)(batches)
+
     return scores(whole_text(text_col))

@@ -111,7 +111,7 @@ def test_context_tells_quotation_from_abuse():
 
 
 def test_ftrl_learns_a_line():
-    w = quality.fit(["good fine"] * 50 + ["bad poor"] * 50, [1] * 50 + [0] * 50)
+    w = quality.fit([("good fine", 1)] * 50 + [("bad poor", 0)] * 50)
     f = quality.Features()
     p = [quality.sigmoid(w[at] @ x) for at, x in (f("good fine"), f("bad poor"))]
     assert p[0] > 0.8 and p[1] < 0.2 and np.count_nonzero(w) < 40
