@@ -1,18 +1,20 @@
 """Operator 6: secret scans: fixed patterns and a battery of randomness tests, in DataFrame functions only.
 
-Three kinds are found by pattern: `assign`, `access` and `hex`. The method adds `random`: runs of at least MIN_LENGTH
-characters of the base64 alphabets that hold a digit. Each run's encoding is inferred (the smallest alphabet that has
-all its characters), and three tests ask whether it looks random in it: chi-squared uniformity of its symbols, runs
-above and below the middle of the alphabet, and serial correlation at lag 1. A run that none of them rejects (Bonferroni,
-level LEVEL) is weighed against identifiers and text: they repeat symbols and change seldom between letters, digits
-and case. That gives a p-value which a short run cannot make small; the false-discovery rate is held at RATE within
-each stratum of lengths (powers of two) by Benjamini and Hochberg's rule. P-values are counted in steps of a tenth
-of a power of ten, so the rule needs a count for each step and no sort, and they are bounds (exp(-z^2/2)/2), so it is
-kept. A `random` span that meets one of the patterns' is left out.
+Three kinds are found by pattern: `assign`, `access` and `hex`. The method adds `random`: of the text that these leave, runs
+of at least MIN_LENGTH characters of the base64 alphabets that mix kinds of characters (runs of one case are words to every
+test). Each run's encoding is inferred (the smallest alphabet that has all its characters), and the battery looks at it:
+chi-squared uniformity of its symbols, runs (above and below the middle of the alphabet, and of kinds of characters), and
+serial correlation at lag 1. The battery is held against two hypotheses. A run that looks random in its encoding is one
+that no test rejects (Bonferroni, level LEVEL). Its p-value is the battery's against text: text repeats symbols, which the
+chi-squared statistic counts, and keeps to a kind of characters, which the number of runs counts; what each of these
+statistics has beyond its mean for text is added up. A short run cannot make that small. The false-discovery rate is held
+at RATE within each stratum of lengths (powers of two) by Benjamini and Hochberg's rule. P-values are counted in steps
+of a tenth of a power of ten, so the rule needs a count for each step and no sort, and they are bounds (exp(-z^2/2)/2),
+so it is kept.
 
 Texts are scanned twice, whole: to count p-values, then to report. Offsets count code points, ends excluded. Null texts
-count as empty. Rows are kept one for one with all their columns. Nothing is shuffled but counts of steps. An empty
-table gives an empty one.
+count as empty. Rows, repeated ones too, are kept one for one with all their columns. Nothing is shuffled but counts of
+steps. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import fresh, whole_text
+from meridian.llm.common import fresh, quoted, whole_text
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_LENGTH, LEVEL, RATE, STEPS = 20, 0.001, 0.01, 300
+MIN_LENGTH, LEVEL, RATE, STEPS = 16, 0.001, 0.01, 300
 
 #: The three patterns. Of a run of letters and digits the leftmost match takes all, so those lengths can
 #: stand in the pattern; an assignment with a short value takes its place all the same, so its length is looked at after.
@@ -33,6 +35,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{24,}",
 }
 RANDOM = r"[A-Za-z0-9+/_=-]{" + str(MIN_LENGTH) + ",}"
+MIXED = "[0-9]|[a-z][A-Z]"
 
 #: Encodings, the smallest first: name, what its runs match, its alphabet.
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,11 +46,13 @@ ENCODINGS = [
     ("base32", "^[A-Z2-7]+$", _UPPER + "234567"),
     ("upper36", "^[A-Z0-9]+$", _UPPER + _DIGITS),
     ("lower36", "^[a-z0-9]+$", _LOWER + _DIGITS),
+    ("base52", "^[A-Za-z]+$", _UPPER + _LOWER),
     ("base62", "^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
     ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", "^.*$", _UPPER + _LOWER + _DIGITS + "-_+/"),
 ]
-#: Of text and identifiers: the chance that two symbols are equal, and that neighbours differ in class (letter, digit, case).
+#: Of text and identifiers: the chance that two symbols are equal (the index of coincidence of English letters), and that
+#: neighbours differ in kind (case, digit, mark; well beyond that of prose, as identifiers change more often).
 SAME, CHANGE = 0.066, 0.15
 
 
@@ -137,14 +142,34 @@ def weighed(token: Column) -> Column:
     return F.transform(F.transform(bound, measured), judged)[0]
 
 
-def _candidates(text: Column) -> Column:
-    runs = F.filter(_hits(text, RANDOM), lambda h: h["value"].rlike("[0-9]"))
+def _blanked(text: Column, pattern: str, least: int = 0) -> Column:
+    """The text with blanks for each match, if group 2 has `least` characters."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    blank = F.transform(found, lambda f: F.repeat(F.lit(" "), F.length(f)))
+    if least:
+        blank = F.zip_with(F.arrays_zip(found.alias("f"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v")), blank, lambda x, b: F.when(F.length(x["v"]) >= least, b).otherwise(x["f"]))
+    out = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(blank)), blank, lambda g, b: F.concat(g, b)), ""), F.element_at(gaps, -1))
+    return F.when(text.rlike(pattern), out).otherwise(text)
+
+
+def _with_rest(docs: DataFrame, text: str, rest: str) -> DataFrame:
+    """`docs` with a column `rest`: the text with blanks for what the patterns find."""
+    out = docs.withColumn(rest, _blanked(F.col(text), PATTERNS["assign"], 6))
+    for kind in ("access", "hex"):
+        out = out.withColumn(rest, _blanked(F.col(rest), PATTERNS[kind]))
+    return out
+
+
+def _candidates(rest: Column) -> Column:
+    runs = F.filter(_hits(rest, RANDOM), lambda h: h["value"].rlike(MIXED))
     return F.transform(runs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), weighed(h["value"]).alias("t")))
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, int]:
     """The least step that counts as a discovery in each stratum; strata without any have none. At most 32 entries."""
-    found = docs.select(F.explode(F.transform(_candidates(whole_text(text_col)), lambda c: c["t"])).alias("t"))
+    rest = _with_rest(docs.select(whole_text(text_col).alias("text")), "text", "rest")
+    found = rest.select(F.explode(F.transform(_candidates(F.col("rest")), lambda c: c["t"])).alias("t"))
     steps = found.groupBy("t.stratum", F.when(F.col("t.random"), F.col("t.step")).otherwise(-1).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
     for stratum in {r["stratum"] for r in steps}:
@@ -160,7 +185,7 @@ def thresholds(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> d
 def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", rate: float = RATE) -> DataFrame:
     """`docs` with one more column: an array of (start, end, kind), by start, then as KINDS lists them. `docs` is read twice."""
     least = thresholds(docs, text_col, rate)
-    text, base, found = (fresh(docs, f"__{x}") for x in ("text", "base", "found"))
+    text, base, rest, found = (fresh(docs, f"__{x}") for x in ("text", "base", "rest", "found"))
     kinds = {k: i for i, k in enumerate(KINDS)}
     kept = lambda hits, kind: F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.lit(kinds[kind]).alias("kind"), h["end"].alias("end")))
     plain = docs.withColumn(text, whole_text(text_col))
@@ -169,9 +194,10 @@ def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", rate
     plain = plain.withColumn(base, F.concat(kept(assign, "assign"), kept(_hits(t, PATTERNS["access"]), "access"), kept(_hits(t, PATTERNS["hex"]), "hex")))
     if least:
         at = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
+        beyond = lambda c: c["t"]["random"] & (c["t"]["step"] >= F.coalesce(F.try_element_at(at, c["t"]["stratum"]), F.lit(STEPS + 1)))
         apart = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        random = F.filter(_candidates(t), lambda c: c["t"]["random"] & (c["t"]["step"] >= F.coalesce(F.try_element_at(at, c["t"]["stratum"]), F.lit(STEPS + 1))) & apart(c))
-        plain = plain.withColumn(found, F.concat(base, kept(random, "random")))
+        plain = _with_rest(plain, text, rest).withColumn(found, F.filter(_candidates(F.col(rest)), beyond))
+        plain = plain.withColumn(found, F.concat(base, kept(F.filter(found, apart), "random"))).drop(rest)
     else:
         plain = plain.withColumn(found, F.col(base))
     names = F.array(*map(F.lit, KINDS))
@@ -181,7 +207,7 @@ def scan(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", rate
 
 def redact(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", by: str = "[SECRET]") -> DataFrame:
     """`docs` with `by` in place of each stretch of text that spans cover; texts without spans, null ones too, stay as they are."""
-    text, spans = F.col(text_col), F.col(spans_col)
+    text, spans = F.col(quoted(text_col)), F.col(quoted(spans_col))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
