@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import quoted, small_batches, whole_text
+from meridian.llm.common import quoted, small_batches, tidy, whole_text
 from meridian.llm.tokens import Segments, byte_of, mapped, read_ranks, vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("id"), ids], ["id", "ids"])
 
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -148,4 +148,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             decoded = pa.array([c.decode(_numbers(x)) for x in b.column("ids")], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ids"), decoded], ["id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")

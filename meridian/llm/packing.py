@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from meridian.llm.common import quoted, small_batches, whole_text
+from meridian.llm.common import quoted, small_batches, tidy, whole_text
 from meridian.llm.tokens import Memo, mapped, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -165,4 +165,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         if out:
             yield batch()
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import checkpointed, quoted, small_batches, whole_text
+from meridian.llm.common import checkpointed, discarded, known, quoted, small_batches, tidy, whole_text
 
 SAMPLE, BUCKET, BLOCK = 20_000, 64, 16_384
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", shing
             found = pa.array([fingerprint(t, shingle) for t in b.column("text_").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], [*keys, "fp"])
 
-    return rows.mapInArrow(run, rows.drop("text_").withColumn("fp", F.lit(0).cast("long")).schema)
+    return rows.mapInArrow(tidy(run), rows.drop("text_").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def partitions(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -169,7 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discarded(last)
 
 
 def near_duplicates(prints: DataFrame, most: int = 2) -> DataFrame:
@@ -183,27 +184,26 @@ def near_duplicates(prints: DataFrame, most: int = 2) -> DataFrame:
     return rooted.join(least, "root").select("fp", "root", "component_id", "copies")
 
 
-def one_of_each(hashed: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of `hashed` of which one stays for each root: that of the least id (null ids last), then of the least hash of its text.
+def one_of_each(rows: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The documents of which one stays for each root: that of the least id (null ids last), then of the least hash of its
+    text; of rows equal in both, the one that comes first as JSON.
 
-    `hashed` has columns __id and __text_hash, which know a row; `prints` has them as id and __text_hash, and fp; `roots` has fp and root."""
-    order = F.struct(F.col("id").isNull(), "id", "__text_hash")
-    keep = (
-        prints.groupBy("id", "__text_hash", "fp").agg(F.count(F.lit(1)).alias("__rows"))
-        .join(roots, "fp")
-        .groupBy("root").agg(F.min_by(F.struct("id", "__text_hash", "__rows"), order).alias("kept"))
-        .select("kept.*").withColumnRenamed("id", "__kept").withColumnRenamed("__text_hash", "__kept_hash")
-    )
-    kept = hashed.join(keep, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__text_hash") == F.col("__kept_hash")))
-    return kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__text_hash"]))
+    `rows` are common.known(); `prints` (id, hash, fp) and `roots` (fp, root) hold the decisions, so texts are shuffled once."""
+    order = F.struct(F.col("id").isNull(), "id", "hash")
+    keep = prints.groupBy("id", "hash", "fp").agg(F.count(F.lit(1)).alias("copies")).join(roots, "fp")
+    keep = checkpointed(keep.groupBy("root").agg(F.min_by(F.struct("id", "hash", "copies"), order).alias("kept")).select("kept.*"))
+    mine = keep.select(F.col("id").alias("its_id"), F.col("hash").alias("its_hash"), "copies")
+    kept = rows.drop("text").join(mine, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("hash") == F.col("its_hash")))
+    if not keep.where("copies > 1").isEmpty():
+        first = kept.where("copies > 1").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        return kept.where("copies = 1").select("row").unionByName(first.select("row")).select("row.*")
+    return kept.select("row.*")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
-    """The rows of `docs` of which one stays for each component, chosen as in one_of_each.
-
-    All columns are kept. A row is known by its id and its text's hash; the decisions are made on those and the
-    fingerprints alone, and texts are shuffled once, to meet them."""
-    hashed = docs.withColumn("__text_hash", F.xxhash64(whole_text(text_col))).withColumn("__id", F.col(quoted(id_col)))
-    prints = checkpointed(fingerprints(hashed, ["__id", "__text_hash"], text_col).withColumnRenamed("__id", "id"))
-    roots = near_duplicates(prints, most).select("fp", "root")
-    return one_of_each(hashed, prints, roots).select(*(F.col(quoted(c)) for c in docs.columns))
+    """The rows of `docs` of which one stays for each component, chosen as in one_of_each. All columns are kept.
+
+    A row is known by its id and its text's hash; the decisions are made on those and the fingerprints alone."""
+    rows = known(docs, id_col, text_col)
+    prints = checkpointed(fingerprints(rows, ["id", "hash"]))
+    return one_of_each(rows, prints, near_duplicates(prints, most).select("fp", "root"))

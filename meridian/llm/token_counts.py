@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import quoted, small_batches, whole_text
+from meridian.llm.common import quoted, small_batches, tidy, whole_text
 from meridian.llm.tokens import Segments, mapped, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -91,4 +91,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id"), sizes, pa.array([c.count(t) for t in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long")
