@@ -26,6 +26,7 @@ GEOMETRY_TYPE = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("srid", T.IntegerType()), T.StructField("geodetic", T.BooleanType()), T.StructField("rings", T.ArrayType(T.ArrayType(_POSITION))),
 ])
 GEOMETRY = GEOMETRY_TYPE.simpleString()
+BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 SRID, RADIUS = 4674, 6371008.8
 
 
@@ -288,6 +289,21 @@ _SQL = {
     f"st_y(g {GEOMETRY})": ("double", "CASE WHEN g.kind = 'point' THEN try_element_at(try_element_at(g.rings, 1), 1).y END"),
     **{f"st_{which}{axis}_of(g {GEOMETRY})": ("double", f"array_{which}(transform(flatten(g.rings), p -> p.{axis}))") for which in ("min", "max") for axis in ("x", "y")},
     f"st_isempty(g {GEOMETRY})": ("boolean", "size(flatten(g.rings)) <= 0"),
+    f"geo_box(g {GEOMETRY})": (BOX, "named_struct(" + ", ".join(f"'{a}{w}', array_{w}(transform(flatten(g.rings), p -> p.{a}))" for w in ("min", "max") for a in "xy") + ")"),
+    # Widened by d: degrees of a great circle for a geography (all longitudes where it would cross a pole or the date line), else units.
+    f"geo_box_within(g {GEOMETRY}, d double)": (BOX, f"""element_at(transform(transform(transform(array(geo_box(g)),
+        b -> named_struct('b', b, 'far', greatest(abs(b.ymin), abs(b.ymax)), 'dy', CASE WHEN g.geodetic THEN degrees(d / {RADIUS}D) * 1.000001D + 1e-12D ELSE d END)),
+        s -> named_struct('b', s.b, 'dy', s.dy, 'dx', CASE WHEN NOT g.geodetic THEN d WHEN s.far + s.dy >= 90 THEN 360D ELSE degrees(asin(least(1D, sin(radians(s.dy)) / cos(radians(s.far))))) * 1.000001D END)),
+        s -> CASE WHEN g.geodetic AND (s.b.xmin - s.dx < -180 OR s.b.xmax + s.dx > 180) THEN named_struct('xmin', least(s.b.xmin, -180D), 'ymin', s.b.ymin - s.dy, 'xmax', greatest(s.b.xmax, 180D), 'ymax', s.b.ymax + s.dy)
+             ELSE named_struct('xmin', s.b.xmin - s.dx, 'ymin', s.b.ymin - s.dy, 'xmax', s.b.xmax + s.dx, 'ymax', s.b.ymax + s.dy) END), 1)"""),
+    # The level whose cells, 2 to its power wide, a box covers at most five of along each side.
+    f"geo_level(b {BOX})": ("int", "CAST(ceil(log2(greatest(b.xmax - b.xmin, b.ymax - b.ymin, 1e-9D))) AS INT) - 2"),
+    # The cells of a box at its own level and at those of `levels` that are coarser.
+    f"geo_cells(b {BOX}, levels array<int>)": (
+        "array<struct<own:int,level:int,cx:bigint,cy:bigint>>",
+        """flatten(transform(transform(filter(array_union(array(geo_level(b)), levels), l -> l >= geo_level(b)), l -> named_struct('l', l, 'w', pow(2D, l))),
+        s -> flatten(transform(sequence(floor(b.xmin / s.w), floor(b.xmax / s.w)), x -> transform(sequence(floor(b.ymin / s.w), floor(b.ymax / s.w)), y -> named_struct('own', geo_level(b), 'level', s.l, 'cx', x, 'cy', y))))))""",
+    ),
 }
 _SQL_ARROW = {
     "st_intersects": st_intersects, "st_contains": st_contains, "st_touches": st_touches, "st_distance": st_distance, "st_dwithin": st_dwithin,

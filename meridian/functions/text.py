@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 LEVEL_SPELLINGS = {"Facíl": "Fácil", "Facil": "Fácil", "Medio": "Médio", "Dificil": "Difícil", "Muito Dificil": "Muito Difícil"}
 DEFAULT_PROMPT = "Pergunta: {question}\nSQL:"
 
+#: What counts as a token of SQL and as a call of a spatial function.
 _TOKEN = r"(?U)[\w\.\*]+|<>|!=|>=|<=|[(),=<>!;]"
 _GEO_CALL = r"\bst_[a-z0-9_]+(?=\s*\()"
 
@@ -91,6 +92,7 @@ def extracted_sql(answer: Column) -> Column:
     without the first run of [tags] that begins a line, from the first WITH or SELECT, cut after the first semicolon
     that more text follows. "" if there is none."""
     text = stripped(F.coalesce(answer, F.lit("")))
+    # How answers fence and tag a query.
     closed = r"(?s)```(?:sql|SQL|postgresql)?\s*(.*?)```"
     opened = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*(?:\n|$)", ""), r"\n[^\S\n]*```[^\n]*$", "")
     inside = F.when(text.rlike(closed), F.regexp_extract(text, closed, 1)).when(text.startswith("```"), opened).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import text
@@ -46,9 +46,13 @@ def per_function(scored: DataFrame) -> DataFrame:
     return sums.select("*", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(text.f1(p, r), 4).alias("f1"))
 
 
-def failure_counts(scored: DataFrame) -> DataFrame:
-    """How often each label occurs for each model, the most frequent first."""
-    return scored.select("model", F.explode("failures").alias("label")).groupBy("model", "label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "model", "label")
+def failure_counts(scored: DataFrame, top: int | None = None) -> DataFrame:
+    """How often each label occurs for each model, the most frequent first; of each model the `top` most frequent, if given."""
+    counts = scored.select("model", F.explode("failures").alias("label")).groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"))
+    if top is not None:
+        place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "label"))
+        counts = counts.withColumn("__place", place).where(F.col("__place") <= top).drop("__place")
+    return counts.orderBy(F.desc("n"), "model", "label")
 
 
 def deltas(totals: DataFrame, metric: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.functions.geo import boxes_meet, haversine, planar
+from meridian.functions.geo import RADIUS, boxes_meet, haversine, planar
 
 #: Cells that an area covers along each side at most.
 SPAN = 8
@@ -79,24 +79,41 @@ def join_boxes(a: DataFrame, b: DataFrame, box_a: dict[str, Column], box_b: dict
     return (met.where(test) if test is not None else met).drop(_LEVEL, _CX, _CY, "__own", "__other")
 
 
-def join_within(a: DataFrame, b: DataFrame, xy_a: tuple[Column, Column], xy_b: tuple[Column, Column], distance: float, geodetic: bool = False, name: str = "distance", most_latitude: float = 60.0) -> DataFrame:
+def join_within(a: DataFrame, b: DataFrame, xy_a: tuple[Column, Column], xy_b: tuple[Column, Column], distance: float, geodetic: bool = False, name: str = "distance") -> DataFrame:
     """Pairs of points at most `distance` apart (metres, if geodetic), with that distance.
 
-    Cells are as wide as the distance, so a point of b is dealt to its cell and the eight around it. Geodetic cells
-    are wide enough up to `most_latitude` degrees either side of the equator; points beyond it raise an error."""
-    cell = max(distance, 1e-12)
+    Plane cells are as wide as the distance, so a point of b is dealt to its cell and the eight around it. Geodetic
+    cells are bands of latitude as high as the distance, each cut into columns as wide as it needs in that band and the
+    two beside it; columns go round the earth, so pairs across longitude 180 and near the poles are met too."""
     if geodetic:
-        cell = distance / (math.pi * 6371008.8 / 180.0) / math.cos(math.radians(most_latitude)) * 1.0001
-        beyond = lambda y: F.when(F.abs(y) <= most_latitude, y).otherwise(F.when(y.isNotNull(), F.raise_error(F.lit(f"latitude beyond {most_latitude}")).cast("double")))
-        xy_a, xy_b = (xy_a[0], beyond(xy_a[1])), (xy_b[0], beyond(xy_b[1]))
-    place = lambda c: F.floor(c / F.lit(cell))
-    around = lambda c: F.array(*(place(c) + i for i in (-1, 0, 1)))
-    left = a.withColumn(_CX, place(xy_a[0])).withColumn(_CY, place(xy_a[1]))
-    right = b.withColumn(_CX, F.explode(around(xy_b[0]))).withColumn(_CY, F.explode(around(xy_b[1])))
+        left, right = _banded(a, b, xy_a, xy_b, distance)
+    else:
+        place = lambda c: F.floor(c / F.lit(max(distance, 1e-12)))
+        around = lambda c: F.array(*(place(c) + i for i in (-1, 0, 1)))
+        left = a.withColumn(_CX, place(xy_a[0])).withColumn(_CY, place(xy_a[1]))
+        right = b.withColumn(_CX, F.explode(around(xy_b[0]))).withColumn(_CY, F.explode(around(xy_b[1])))
     measure = (haversine if geodetic else planar)(*xy_a, *xy_b)
     return left.join(right, [_CX, _CY]).withColumn(name, measure).where(F.col(name) <= distance).drop(_CX, _CY)
 
 
+def _banded(a: DataFrame, b: DataFrame, xy_a: tuple[Column, Column], xy_b: tuple[Column, Column], distance: float) -> tuple[DataFrame, DataFrame]:
+    """a's points in their cells, b's in all cells that may hold a point within the distance."""
+    high = max(distance / (math.pi * RADIUS / 180.0) * 1.000001, 1e-7)
+    band = lambda y: F.floor(y / F.lit(high))
+
+    def columns(of: Column) -> Column:
+        """How many columns a band has."""
+        far = F.greatest(F.abs(of - 1), F.abs(of + 2)) * F.lit(high)
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(high, 90.0)))) / F.cos(F.radians(F.least(far, F.lit(89.999999)))))))
+        return F.when(far + high >= 90.0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.floor(360.0 / (wide * 1.000001)).cast("double"))).cast("long")
+
+    column = lambda x, n: F.floor((x + 180.0 - 360.0 * F.floor((x + 180.0) / 360.0)) / (360.0 / n))
+    left = a.withColumn(_CY, band(xy_a[1])).withColumn(_CX, column(xy_a[0], columns(F.col(_CY))))
+    right = b.withColumn(_CY, F.explode(F.array(*(band(xy_b[1]) + i for i in (-1, 0, 1)))))
+    n = columns(F.col(_CY))
+    return left, right.withColumn(_CX, F.explode(F.array_distinct(F.array(*(F.pmod(column(xy_b[0], n) + i, n) for i in (-1, 0, 1))))))
+
+
 def nearest(a: DataFrame, b: DataFrame, key: str, xy_a: tuple[Column, Column], xy_b: tuple[Column, Column], k: int, tie: list[str], cell: float, name: str = "distance", rounds: int = 40) -> DataFrame:
     """The k nearest points of b (plane distance) for each row of a; `key` tells a's rows apart, `tie` orders equal ones.
 

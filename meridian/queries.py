@@ -258,14 +258,43 @@ def st_union_area(spark, sf_dir):
 
 @query(f"WITH {CUSTOMERS}, {TERRITORIES} SELECT n_name, count(*) AS n FROM territories JOIN customers ON {WITHIN} AND n_regionkey = 1 GROUP BY n_name")
 def sql_st_contains(spark, sf_dir):
-    """The engine's st_ functions called in PostgreSQL text."""
+    """Spatial joins of PostgreSQL text, which the engine plans on grid cells."""
+    return places_sql(spark, sf_dir, "SELECT t.n_name, COUNT(*) AS n FROM territories t JOIN places p ON ST_Contains(t.geometry, p.geometry) WHERE t.n_regionkey = 1 GROUP BY t.n_name")
+
+
+def places_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over territories, places (customers), depots (suppliers) and plots (parts), each with a geometry."""
     geo.register(spark)
     territories(spark, sf_dir).createOrReplaceTempView("territories")
     customers(spark, sf_dir).select("c_custkey", geo.st_makepoint(F.col("x"), F.col("y"), geo.SRID).alias("geometry")).createOrReplaceTempView("places")
-    sql = "SELECT t.n_name, COUNT(*) AS n FROM territories t JOIN places p ON floor(ST_X(p.geometry)) = t.n_nationkey % 5 AND ST_Contains(t.geometry, p.geometry) WHERE t.n_regionkey = 1 GROUP BY t.n_name"
+    suppliers(spark, sf_dir).select("s_suppkey", geo.st_makepoint(F.col("sx"), F.col("sy"), geo.SRID).alias("geometry")).createOrReplaceTempView("depots")
+    plots = geo.st_makeenvelope(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")), geo.SRID)
+    rectangles(spark, sf_dir).select("p_partkey", plots.alias("geometry")).createOrReplaceTempView("plots")
     return spark.sql(to_spark(sql))
 
 
+@query(f"WITH {TERRITORIES}, {RECTANGLES} SELECT n_nationkey, count(*) AS plots FROM territories a JOIN rectangles b ON {_BOXES} GROUP BY n_nationkey")
+def sql_st_intersects(spark, sf_dir):
+    return places_sql(spark, sf_dir, "SELECT t.n_nationkey, COUNT(*) AS plots FROM territories t, plots p WHERE ST_Intersects(p.geometry, t.geometry) GROUP BY t.n_nationkey")
+
+
+@query(f"WITH {CUSTOMERS}, {SUPPLIERS} SELECT c_custkey, s_suppkey FROM customers, suppliers WHERE {HAVERSINE} <= 15000")
+def sql_st_dwithin(spark, sf_dir):
+    return places_sql(spark, sf_dir, "SELECT p.c_custkey, d.s_suppkey FROM places p JOIN depots d ON ST_DWithin(p.geometry::geography, d.geometry::geography, 15000)")
+
+
+@query(f"WITH {TERRITORIES} SELECT a.n_name AS a, b.n_name AS b FROM territories a JOIN territories b ON {_BOXES} AND a.n_nationkey < b.n_nationkey")
+def sql_st_touches(spark, sf_dir):
+    return places_sql(spark, sf_dir, "SELECT a.n_name AS a, b.n_name AS b FROM territories a JOIN territories b ON a.n_nationkey < b.n_nationkey AND ST_Touches(a.geometry, b.geometry)")
+
+
+@query(f"WITH {CUSTOMERS}, {TERRITORIES}, {SUPPLIERS} SELECT t.n_name, count(*) AS n FROM territories t JOIN customers ON {WITHIN} JOIN suppliers ON sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y)) <= 0.05 GROUP BY t.n_name")
+def sql_st_within_chain(spark, sf_dir):
+    """Two spatial joins that share a relation."""
+    sql = "WITH near AS (SELECT * FROM places p JOIN territories t ON ST_Within(p.geometry, t.geometry)) SELECT n.n_name, COUNT(*) AS n FROM (SELECT q.n_name, q.c_custkey FROM near q) n JOIN places p ON p.c_custkey = n.c_custkey JOIN depots d ON ST_DWithin(p.geometry, d.geometry, 0.05) GROUP BY n.n_name"
+    return places_sql(spark, sf_dir, sql.replace("SELECT * FROM places p", "SELECT p.c_custkey, t.* FROM places p"))
+
+
 @query(f"WITH {CUSTOMERS} SELECT c_custkey, round(sqrt((x - 2) * (x - 2) + (y - 3) * (y - 3)), 6) AS d, abs(x - 2) <= 0.5 AND abs(y - 3) <= 0.5 AS near FROM customers")
 def sql_st_distance(spark, sf_dir):
     geo.register(spark)

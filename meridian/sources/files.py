@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +101,18 @@ def ordered_versions(paths: list[str]) -> list[str]:
         m = re.search(r"_v(\d+)\.json$", path)
         return (0, int(m[1]), path) if m else (1, 0, path)
 
-    return sorted(dict.fromkeys(paths), key=number)
+    return sorted({resolved(p): p for p in reversed(paths)}.values(), key=number)
+
+
+def resolved(path: str) -> str:
+    """One spelling of a path: a local one absolute and without links, a store's without `.`, `..` and doubled slashes."""
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return os.path.realpath(path.removeprefix("file:"))
+    if scheme == "file":
+        return os.path.realpath(rest)
+    host, _, inner = rest.partition("/")
+    return f"{scheme}://{host}{os.path.normpath('/' + inner.lstrip('/'))}"
 
 
 def read_predictions(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -124,15 +137,32 @@ def write_json(value: object, path: str) -> None:
     Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
 
 
-def consolidated(experiments: dict[str, DataFrame]) -> DataFrame:
-    """Summaries of several experiments in one table, with the time of the report."""
+def consolidated(experiments: dict[str, DataFrame], db_used: bool = True, compare_mode: str = "auto_robust") -> DataFrame:
+    """Summaries of several experiments in one table, with the time of the report, whether queries were run, and how results were compared."""
     out = None
     for name, df in experiments.items():
         own = df.withColumn("experiment", F.lit(name))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no experiment")
-    return out.withColumn("generated_at", F.current_timestamp())
+    return out.withColumns({"generated_at": F.current_timestamp(), "db_used": F.lit(db_used), "compare_mode": F.lit(compare_mode)})
+
+
+def write_split(train: DataFrame, validation: DataFrame, manifest: dict, folder: str) -> None:
+    """Both parts of a split as Parquet, train/ and validation/, and split_manifest.json with the digest of each part's files.
+
+    Everything goes through Spark's file systems, so the folder may be in any store."""
+    spark = train.sparkSession
+    digests = {}
+    for name, part in (("train", train), ("validation", validation)):
+        part.write.mode("overwrite").parquet(f"{folder}/{name}")
+        files = md5_of_files(spark, f"{folder}/{name}/*.parquet").orderBy("md5").select("md5").collect()  # one for each file written
+        digests[f"{name}_md5"] = hashlib.md5("".join(r[0] for r in files).encode()).hexdigest()
+    whole = json.dumps({**manifest, **digests}, ensure_ascii=False, indent=2)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/split_manifest.json")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(whole.encode("utf-8")))
+    out.close()
 
 
 def md5_of_files(spark: SparkSession, pattern: str) -> DataFrame:

@@ -143,6 +143,56 @@ def test_files(spark, tmp_path):
 def test_console():
     assert console.padded("\x1b[31mab\x1b[0m", 4) == "\x1b[31mab\x1b[0m  " and console.progress_bar(2.0, 4) == "####" and console.progress_bar(-1, 4) == "...."
     assert console.badge(None) == "n/a" and console.marked("correct")[0] == "✔" and console.marked("wrong_limit")[0] == "~" and console.marked("parse_error")[0] == "✘"
+    assert console.width("日本") == 4 and console.width("e\u0301") == 1 and console.failures_line(["wrong_limit", "unknown"]) == "Failures: ~ wrong_limit  ? unknown"
+    assert console.components_table({"where": {"match": False, "jaccard": 0.5}}).split("\n") == ["clause  match  jaccard", "where   no     0.5000"]
+    assert console.table([{"a": 1.5, "b": None}], ["a", "b"]).split("\n")[1] == "1.5000  n/a"
+    t = console.Throttle(60)
+    assert [t.due(1, 9), t.due(2, 9), t.due(9, 9)] == [True, False, True]
+
+
+def test_severity_of_all_labels():
+    from meridian.plans.sql_compare import LABELS, severity
+
+    soft = {"missing_distinct", "wrong_order_by", "wrong_limit", "wrong_join_condition", "wrong_condition_value", "execution_error"}
+    other = {"correct": "none", "unknown": "unknown", "scoring_error": "unknown"}
+    assert {x: severity(x) for x in LABELS} == {x: other.get(x, "soft" if x in soft else "hard") for x in LABELS}
+
+
+def test_component_mean_is_of_rounded_values():
+    from meridian.plans.sql_compare import score
+
+    s = score("SELECT a, b FROM t WHERE x = 1", "SELECT a, b, c FROM t WHERE x = 1")
+    assert s["component_jaccard"] == round((round(2 / 3, 4) + 1 + 1) / 3, 4)
+
+
+def test_split_is_written_with_its_manifest(spark, tmp_path):
+    import json
+
+    from meridian.operators import split
+    from meridian.sources import files
+
+    df = split.stratified(spark.range(100).selectExpr("id", "id % 4 AS k"), ["k"], "id", 0.2)
+    train, val = (df.where(c).drop("validation") for c in ("NOT validation", "validation"))
+    files.write_split(train, val, split.manifest(train, val, ["k"], 42, 0.2), str(tmp_path / "s"))
+    m = json.loads((tmp_path / "s" / "split_manifest.json").read_text())
+    assert m["train"]["rows"] == 80 and len(m["train_md5"]) == len(m["validation_md5"]) == 32 and m["train_md5"] != m["validation_md5"]
+    assert spark.read.parquet(str(tmp_path / "s" / "validation")).count() == 20
+
+
+def test_paths_that_resolve_alike_count_once(tmp_path):
+    from meridian.sources import files
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "d")
+    paths = [f"{tmp_path}/d/predictions_v2.json", f"{tmp_path}/link/predictions_v2.json", f"file://{tmp_path}/d/../d/predictions_v2.json", "s3://b//x/./predictions_v1.json", "s3://b/x/predictions_v1.json"]
+    assert files.ordered_versions(paths) == ["s3://b//x/./predictions_v1.json", paths[0]]
+
+
+def test_top_labels(spark):
+    from meridian.operators import report
+
+    df = spark.createDataFrame([("m", ["a", "b"]), ("m", ["a", "c"]), ("m", ["c", "a"])], "model string, failures array<string>")
+    assert [(r.label, r.n) for r in report.failure_counts(df, top=2).collect()] == [("a", 3), ("c", 2)]
     assert console.banner("x", 5).split("\n")[1] == "  x"
 
 
