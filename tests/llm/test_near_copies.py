@@ -65,3 +65,18 @@ def test_edge_rows(edge, nothing):
     texts = [r.text for r in rows.collect()]
     assert sum(t in (None, "", " ", "\n\n") for t in texts) == 1 and sum(t == "one" for t in texts) == 1 and "null id" in texts
     assert near_copies.distinct_documents(nothing).collect() == []
+
+
+def test_frequent_passages_move_back(spark, monkeypatch):
+    """A passage that many texts share leaves their prefixes, neighbours in the text too, and the result stays."""
+    passage = prose(7, 60)
+    texts = [f"{prose(100 + i, 12)} {passage} {prose(300 + i, 3)}" for i in range(60)] + [f"{passage} w{i}" for i in range(3)]
+    rows = near_copies.known(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    found = near_copies.checkpointed(near_copies.prints(rows, (near_copies.np.zeros(0, "i8"), near_copies.np.zeros(0, "i8"))))
+    nodes = near_copies.checkpointed(found.groupBy("fp").agg(*(near_copies.F.first(c).alias(c) for c in ("hash", "n", "prefix", "counts"))))
+    before = max(r.rows for r in near_copies._counted(nodes.select(near_copies.F.explode("prefix").alias("s"))).collect())
+    none = near_copies.np.zeros(0, "i8")
+    _, twice = near_copies.settled(nodes, rows, (none, none))
+    assert before > 30 > 10 >= max((r.rows for r in twice.collect()), default=0)
+    got = near_copies.distinct_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == brute_roots(texts)
