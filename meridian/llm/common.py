@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridian.llm.tokens import forget
 from meridian.materialize import discarded, materialized as checkpointed
 
 __all__ = ["checkpointed", "discarded", "fold_of", "fresh", "known", "labelled_sample", "quoted", "small_batches", "table", "tidy", "within_bytes", "whole_text"]
@@ -65,6 +66,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
+        forget()
         gc.collect()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

@@ -7,12 +7,13 @@ import re
 from collections.abc import Callable
 from functools import cache
 from sys import getsizeof
+from weakref import ref
 
 import public_tokenizers
 import regex
 
 #: Bytes, as estimated, that a worker's cache of segments may take before it starts afresh.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 72 << 20
 
 #: White space right before a blank or line break: there a cut at the second one would part a run of white space.
 _RUN = re.compile(r"\s[ \n]")
@@ -66,18 +67,30 @@ class Memo(dict):
     def __init__(self, compute: Callable):
         super().__init__()
         self.compute, self.room = compute, CACHE_BYTES
+        _memos.append(ref(self))
 
     def __missing__(self, key):
         value = self.compute(key)
         size = getsizeof(key) + getsizeof(value) + 112  # a dict's own share of an entry
         if size <= CACHE_BYTES >> 6:
             if size > self.room:
-                self.clear()
-                self.room = CACHE_BYTES
+                self.emptied()
             self.room -= size
             self[key] = value
         return value
 
+    def emptied(self) -> None:
+        self.clear()
+        self.room = CACHE_BYTES
+
+
+_memos: list[ref] = []
+
+
+def forget() -> None:
+    """Empties all caches of this worker: other operators' tasks come after."""
+    _memos[:] = [r for r in _memos if (m := r()) is not None and m.emptied() is None]
+
 
 class Segments:
     """Maps a text to the values of its segments, each computed once.
