@@ -15,6 +15,7 @@ them. An empty table gives no pieces.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meridian.llm.common import quoted, small_batches, tidy, whole_text
-from meridian.llm.tokens import Memo, mapped, vocabulary
+from meridian.llm.tokens import CACHE_BYTES, Memo, mapped, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 4096, 2
@@ -48,14 +49,19 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.part = Memo(lambda p: np.array([t.id for t in self.model.tokenize(mapped(p.encode()))], "<u4").tobytes())
-        self.word = Memo(self._word)
+        self.word = Memo(self._word, 2 * CACHE_BYTES)
 
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
+        if word.isascii() and word.isprintable():
+            low = word.lower()
+        elif _PLAIN.fullmatch(word):
+            low = unicodedata.normalize("NFC", word).lower()
+        else:
             return self._whole(word)
-        word = unicodedata.normalize("NFC", word).lower()
-        return self.part[word] if word.isalpha() else b"".join(map(self.part.__getitem__, SPLIT.findall(word)))
+        parts = [low] if low.isalpha() else SPLIT.findall(low)
+        if parts == [word]:  # one that the merges start from
+            return array("I", [t.id for t in self.model.tokenize(mapped(word.encode()))]).tobytes()
+        return b"".join(map(self.word.__getitem__, parts))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -6,14 +6,13 @@ import base64
 import re
 from collections.abc import Callable
 from functools import cache
-from sys import getsizeof
 from weakref import ref
 
 import public_tokenizers
 import regex
 
 #: Bytes, as estimated, that a worker's cache of segments may take before it starts afresh.
-CACHE_BYTES = 72 << 20
+CACHE_BYTES, LONGEST_KEY = 72 << 20, 1000
 
 #: White space right before a blank or line break: there a cut at the second one would part a run of white space.
 _RUN = re.compile(r"\s[ \n]")
@@ -62,26 +61,27 @@ def pattern() -> regex.Pattern:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts afresh when it has CACHE_BYTES; what would take a large share of them it does not keep."""
+    """A dict from strings that computes what it lacks and starts afresh when it has `most` bytes; long keys it does not keep.
 
-    def __init__(self, compute: Callable):
+    An entry is estimated by its key: a dict's share and two objects' heads, and what key and value have for each character."""
+
+    def __init__(self, compute: Callable, most: int = CACHE_BYTES):
         super().__init__()
-        self.compute, self.room = compute, CACHE_BYTES
+        self.compute, self.room, self.most = compute, most, most
         _memos.append(ref(self))
 
     def __missing__(self, key):
         value = self.compute(key)
-        size = getsizeof(key) + getsizeof(value) + 112  # a dict's own share of an entry
-        if size <= CACHE_BYTES >> 6:
-            if size > self.room:
+        if (n := len(key)) <= LONGEST_KEY:
+            if self.room < 0:
                 self.emptied()
-            self.room -= size
+            self.room -= 200 + 5 * n
             self[key] = value
         return value
 
     def emptied(self) -> None:
         self.clear()
-        self.room = CACHE_BYTES
+        self.room = self.most
 
 
 _memos: list[ref] = []
