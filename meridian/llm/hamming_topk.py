@@ -117,7 +117,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 out[0].append(np.full(len(at), q)), out[1].append(own[at]), out[2].append(distance.astype(np.int32))
         return pa.table(dict(zip(["query_id", "id", "distance"], map(np.concatenate, out), strict=True)))
 
-    found = left.unionByName(right).groupBy("rb", "qb").applyInArrow(answered, "query_id long, id long, distance int")
+    dealt = left.unionByName(right).repartition(min(20_000, row_blocks * query_blocks), "rb", "qb")  # by groups, which are few bytes but much work
+    found = dealt.groupBy("rb", "qb").applyInArrow(answered, "query_id long, id long, distance int")
     best = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

@@ -13,7 +13,9 @@ projection, and the reach grows until most blocks are read; the README has figur
 Vectors that are null, zero, or hold null or non-finite components take no part, as queries or as candidates. Vectors
 are compared with those of their own dimension. Rows whose vector and id repeat count once; of equal vectors under
 different ids each is a candidate. Ties go to the smaller id. Null ids take no part. Blocks are range-partitioned by
-(ordering, block), so no task holds more than a block of rows and the queries that look into it.
+(ordering, block). Where more than about ASKED queries look into a block, they are dealt to several copies of it by
+a hash of their ids, so a group holds a block of rows and about ASKED queries at every size of the table. There are
+MOST_BLOCKS blocks at most, which bounds the quantiles; tables of over BLOCK * MOST_BLOCKS rows have larger ones.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from meridian.llm.common import checkpointed, quoted, small_batches
 
 ORDERINGS, DIMENSIONS, BITS = 4, 4, 6
-BLOCK, PILOTS, RECALL = 4096, 128, 0.97
+BLOCK, MOST_BLOCKS, ASKED, PILOTS, RECALL = 4096, 100_000, 8192, 128, 0.97
 _TIE = 1 << 16
 
 
@@ -156,12 +158,13 @@ def _reach(rows: DataFrame, queries: DataFrame, cuts: dict, k: int, pilots: int,
     return reach
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, block: int = BLOCK, pilots: int = PILOTS, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, block: int = BLOCK, pilots: int = PILOTS, recall: float = RECALL, most_asked: int = ASKED) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query among `vectors`."""
     pick = lambda df: df.where(F.col(quoted(id_col)).isNotNull()).select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).alias("v"))
     once = lambda df: checkpointed(_rows(pick(df), orderings).dropDuplicates(["id", "vector"]))
     rows, asked = once(vectors), once(queries)
     sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}
+    block = max(block, -(-sum(sizes.values()) // MOST_BLOCKS))
     cuts: dict[tuple[int, int], np.ndarray] = {}
     for dim, n in sizes.items():
         parts = -(-n // block)
@@ -170,6 +173,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         for o in range(orderings):
             cuts[dim, o] = np.array(found[o] if parts > 1 else [], np.int64)
     reach = _reach(rows, asked, cuts, k, pilots, recall)
+    asking = {r["dim"]: r["count"] for r in asked.groupBy("dim").count().collect()}
+    copies = {d: max(1, -(-asking.get(d, 0) * min(2 * reach + 1, len(cuts[d, 0]) + 1) // (most_asked * (len(cuts[d, 0]) + 1)))) for d in sizes}
     shared = vectors.sparkSession.sparkContext.broadcast(cuts)  # 8 bytes for each block and ordering
 
     def dealt(is_query: bool):
@@ -182,14 +187,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                     block_of = np.searchsorted(own, key, "right")
                     last, width = len(own), min(2 * reach, len(own))
                     first = np.clip(block_of - reach, 0, last - width)  # at an end the window is moved in
-                    for step in range(width + 1) if is_query else (0,):
-                        to = first + step if is_query else block_of
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim * 1000 + o), pa.int32()), pa.array(to, pa.int32()), pa.array(np.full(n, is_query)), part.column("id"), part.column("vector")], ["curve", "block", "asks", "id", "vector"])
+                    ids = np.array(part.column("id"), np.int64)
+                    whole = lambda v, kind: pa.array(np.broadcast_to(v, len(ids)), kind)  # noqa: B023, E731
+                    for step in range(width + 1) if is_query else range(copies[dim]):
+                        to, copy = (first + step, ids % copies[dim]) if is_query else (block_of, step)
+                        yield pa.RecordBatch.from_arrays([whole(dim * 1000 + o, pa.int32()), whole(to, pa.int32()), whole(copy, pa.int32()), whole(is_query, pa.bool_()), part.column("id"), part.column("vector")], ["curve", "block", "copy", "asks", "id", "vector"])
 
         return run
 
-    kind = "curve int, block int, asks boolean, id long, vector binary"
+    kind = "curve int, block int, copy int, asks boolean, id long, vector binary"
     both = rows.mapInArrow(dealt(False), kind).unionByName(asked.mapInArrow(dealt(True), kind))
 
     def compared(t: pa.Table) -> pa.Table:
@@ -201,8 +207,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 q.append(qs), i.append(ids[~asks][ri]), c.append(cs)
         return pa.table({"query_id": np.concatenate(q), "id": np.concatenate(i), "score": np.concatenate(c)})
 
-    parts = max(1, orderings * sum(-(-n // block) for n in sizes.values()))
-    found = both.repartitionByRange(min(parts, 20_000), "curve", "block").groupBy("curve", "block").applyInArrow(compared, "query_id long, id long, score double")
+    parts = max(1, orderings * sum(-(-n // block) * copies[d] for d, n in sizes.items()))
+    found = both.repartitionByRange(min(parts, 20_000), "curve", "block", "copy").groupBy("curve", "block", "copy").applyInArrow(compared, "query_id long, id long, score double")
     merged = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -19,10 +19,11 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit("x"), "vector": F.lit(1)}), x
 
 
-def test_neighbours(spark, vectors):
+@pytest.mark.parametrize("most_asked", [hilbert_ann.ASKED, 1])
+def test_neighbours(spark, vectors, most_asked):
     df, x = vectors
     found: dict = {}
-    for r in hilbert_ann.search(df, df.where("vec_id % 50 = 0 OR vec_id = 7"), block=64).collect():
+    for r in hilbert_ann.search(df, df.where("vec_id % 50 = 0 OR vec_id = 7"), block=64, most_asked=most_asked).collect():
         found.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
