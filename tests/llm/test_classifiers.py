@@ -115,3 +115,81 @@ def test_ftrl_learns_a_line():
     f = quality.Features()
     p = [quality.sigmoid(w[at] @ x) for at, x in (f("good fine"), f("bad poor"))]
     assert p[0] > 0.8 and p[1] < 0.2 and np.count_nonzero(w) < 40
+
+
+def test_ftrl_equals_plain_python():
+    """FTRL-proximal with dictionaries, coordinate by coordinate and pass by pass."""
+    from math import exp, log, sqrt
+
+    rng = random.Random(3)
+    rows = [(text_of(rng, junk=i % 2), 1 - i % 2) for i in range(30)] + [("", 1), ("a a a", 0), ("same text", 0), ("same text", 1)]
+    features, z, n, last = quality.Features(), {}, {}, float("inf")
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= quality.L1 else ((quality.L1 if z[i] > 0 else -quality.L1) - z[i]) / ((quality.BETA + sqrt(n[i])) / quality.ALPHA + quality.L2)
+    while True:
+        loss = 0.0
+        for text, y in rows:
+            pairs = [(int(i), float(v)) for i, v in zip(*features(text))]
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + exp(-sum(w[i] * v for i, v in pairs)))
+            loss -= log(p if y else 1 - p)
+            before = {i: n.get(i, 0.0) for i in w}
+            for i, v in pairs:
+                g = (p - y) * v
+                step = (sqrt(before[i] + g * g) - sqrt(before[i])) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+        if last - loss / len(rows) < quality.GAIN:
+            break
+        last = loss / len(rows)
+    got = quality.fit(rows)
+    assert {i: pytest.approx(weight(i), rel=1e-4, abs=1e-5) for i in z if weight(i)} == {int(i): float(got[i]) for i in np.flatnonzero(got)}
+
+
+def test_shapes_are_whole():
+    assert quality.shape("ab-1-." * 9) != quality.shape("ab-1-." * 10) and quality._codes("ab-1-." * 9) >> 32 != quality._codes("ab-1-." * 10) >> 32
+
+
+def brute_toxic(text, model):
+    """Every word by edit distances, every hit by its own context."""
+    counts = [0] * 9
+    lower = text.lower()
+    inside = lambda at, end: any(m.start() < at and end < m.end() for m in toxicity.QUOTED.finditer(text))
+    for m in toxicity.WORD.finditer(lower):
+        w = m[0]
+        whole = min((d for t, b in model["terms"] if not b and (d := distance(t, w)) <= toxicity.edits_for(t)), default=None)
+        stem = min((d for t, b in model["terms"] if b for k in range(len(w) + 1) if (d := distance(t, w[:k])) <= toxicity.edits_for(t)), default=None)
+        if whole is None and stem is None:
+            continue
+        kind = 1 + 2 * (whole > 0) if stem is None or whole is not None and whole <= stem else 2 + 2 * (stem > 0)
+        if kind > 2 and w in model["clean"]:
+            continue
+        near = [x.lower() for x in toxicity.WORD.findall(text[max(0, m.start() - 40) : m.start()])[-4:] + toxicity.WORD.findall(text[m.end() : m.end() + 40])[:3]]
+        quoted = inside(*m.span()) + any(x in toxicity.REPORTING for x in near) - any(x in toxicity.ADDRESS for x in near) > 0
+        counts[2 * kind - (not quoted)] += 1
+    x = np.array([1.0, *(np.log2(1 + c) for c in counts[1:])])
+    return 1 / (1 + np.exp(-(x @ model["weights"])))
+
+
+def test_score_equals_plain_python():
+    rng = random.Random(8)
+    model = {"terms": [("idiot", False), ("worthless", False), ("lowei", True)], "clean": {"idiom"}, "weights": toxicity.PRIOR}
+    pool = ["idiot", "idiot5", "idi0t", "idiom", "worthles", "loweiter", '"', "\n", "you", "said", "river", "“", "”", "stone"]
+    scorer = toxicity.Scorer(model)
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        assert scorer(text) == pytest.approx(brute_toxic(text, model), abs=1e-12), text
+
+
+def test_hits_are_all_counted():
+    scorer = toxicity.Scorer({"terms": [("idiot", False)], "clean": set(), "weights": toxicity.PRIOR})
+    assert scorer("you idiot5") == scorer("you idiot") > 0.8
+    assert scorer.features("you idiot " * 9)[1] == pytest.approx(np.log2(10)) and scorer.features("idiot " * 30)[1] > scorer.features("idiot " * 9)[1]
+    quote = '"' + "so many words come before it in the very same sentence that ends in an idiot" + ' and goes on for a while longer than forty characters" he wrote'
+    assert scorer.features(quote)[2] == 1
+    assert scorer.features('the "first" quotation; a plain idiot; the "second"')[1] == 1
+
+
+def test_sample_is_bounded_in_bytes(tables):
+    docs, labels = tables
+    few = quality.train(docs, labels, sample_bytes=2000)
+    assert 0 < np.count_nonzero(few) < np.count_nonzero(quality.train(docs, labels))
