@@ -62,9 +62,10 @@ def test_all_kept_documents_are_packed(stages):
 
 def test_edge_rows_pass(spark, sf, edge, nothing):
     for docs in (edge, nothing):
+        first = {r.doc_id for r in docs.collect()}
         for name, stage in corpus_pipeline.STAGES:
             docs = checkpointed(stage(spark, docs, sf))
-        assert docs.count() >= 0
+        assert {r.doc_id for r in docs.collect()} <= first and docs.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
@@ -75,3 +76,13 @@ def test_registered(name, spark, sf):
         assert n == table(spark, sf, tables.get(name.split("_")[0], "documents")).count()
     else:
         assert n > 0
+
+
+def test_names_that_helpers_might_take_stay(spark, sf):
+    names = ["__id", "__kept", "__text_hash", "__rows", "__spans", "row", "hash", "text_", "copies", "its_id"]
+    docs = spark.createDataFrame([(1, "a secret password=abcdef1 here", 0), (2, "other words entirely", 0), (2, "other words entirely", 1)], "doc_id long, text string, n_chars long").selectExpr("*", *(f"doc_id * 10 AS `{n}`" for n in names))
+    kept = corpus_pipeline.mask_secrets(spark, corpus_pipeline.near_dedup(spark, docs, sf), sf)
+    assert kept.columns == docs.columns
+    got = sorted(kept.collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.n_chars) for r in got] == [(1, len("a secret [SECRET] here")), (2, 0)]  # of rows alike but for n_chars the first by JSON
+    assert all(r[n] == r.doc_id * 10 for r in got for n in names)
