@@ -45,11 +45,11 @@ class Words:
     The vocabulary drops white space and never joins what it parts, so a text's ids are those of its words, unless
     it holds a special token's string; such a text goes to the library whole, as does a word with unusual characters."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = 2 * CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.word = Memo(self._word, 2 * CACHE_BYTES)
+        self.word = Memo(self._word, cache_bytes)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
@@ -72,8 +72,8 @@ class Words:
 
 
 @cache
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, cache_bytes: int = 2 * CACHE_BYTES) -> Words:
+    return Words(path, cache_bytes)
 
 
 class Packer:
@@ -130,16 +130,16 @@ class Packer:
         return 1 << (n.bit_length() - 1) if n else 0
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END, cache_bytes: int = 2 * CACHE_BYTES) -> DataFrame:
     """(id, start, length, ids binary, doc_tokens, sequence_id, offset) of every piece; ids are little-endian unsigned 32-bit.
 
-    `capacity` is a power of two. A sequence id is the partition's number times 2^33 plus the window's number in it."""
+    `capacity` is a power of two. `cache_bytes` bounds a worker's cache of words, for speed alone. A sequence id is the partition's number times 2^33 plus the window's number in it."""
     path = path or vocabulary(VOCABULARY)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), whole_text(text_col).alias("text"))
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, packer, sequence, out = words(path), Packer(capacity), TaskContext.get().partitionId() << 33, []
+        w, packer, sequence, out = words(path, cache_bytes), Packer(capacity), TaskContext.get().partitionId() << 33, []
         kind = None
 
         def put(windows: Iterator[list[tuple]]) -> None:

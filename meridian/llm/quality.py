@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.llm.common import fold_of, labelled_sample, tidy, whole_text, within_bytes
-from meridian.llm.tokens import Memo
+from meridian.llm.tokens import CACHE_BYTES, Memo
 
 BUCKETS, SAMPLE, SAMPLE_BYTES, GAIN = 1 << 18, 8192, 128 << 20, 0.005
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.05
@@ -44,7 +44,7 @@ def _codes(word: str) -> int:
 
 class Features:
     def __init__(self):
-        self.codes = Memo(_codes)
+        self.codes = Memo(_codes, CACHE_BYTES // 3)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Indices, each once for words and once for shapes, and values; the bias comes first."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import fold_of, labelled_sample, tidy, whole_text, within_bytes
 from meridian.llm.quality import sigmoid
-from meridian.llm.tokens import Memo
+from meridian.llm.tokens import CACHE_BYTES, Memo
 
 SAMPLE, SAMPLE_BYTES, SUPPORT, PURITY, STEM = 6144, 128 << 20, 3, 0.9, 4
 #: States of the product that a worker keeps before it starts afresh.
@@ -156,7 +156,7 @@ class Scorer:
     def __init__(self, model: dict):
         self.weights = np.asarray(model["weights"])
         matcher, clean = Matcher(model["terms"]), model["clean"]
-        self.kind = Memo(lambda w: 0 if (k := matcher(w)) > 2 and w in clean else k)
+        self.kind = Memo(lambda w: 0 if (k := matcher(w)) > 2 and w in clean else k, CACHE_BYTES // 3)
 
     def features(self, text: str) -> np.ndarray:
         x = np.zeros(9)
