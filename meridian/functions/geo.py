@@ -161,8 +161,8 @@ def _cross(e: Column) -> Column:
 def st_area(g: Column) -> Column:
     """Of a polygon, in square units: its first ring less the others' areas by the shoelace sum; 0 for other kinds."""
     rings = F.transform(g["rings"], lambda r: F.abs(_sum(F.transform(_edges(r), _cross))) / 2.0)
-    first = F.coalesce(F.try_element_at(rings, F.lit(1)), F.lit(0.0))
-    return F.when(g["kind"] == "polygon", first * 2.0 - _sum(rings)).when(g.isNotNull(), 0.0)
+    area = F.transform(F.array(rings), lambda r: F.coalesce(F.try_element_at(r, F.lit(1)), F.lit(0.0)) * 2.0 - _sum(r))[0]
+    return F.when(g["kind"] == "polygon", area).when(g.isNotNull(), 0.0)
 
 
 def _length(g: Column) -> Column:
@@ -178,17 +178,21 @@ def st_perimeter(g: Column) -> Column:
     return F.when(g["kind"] == "polygon", _length(g)).when(g.isNotNull(), 0.0)
 
 
+def _weighted(edges: Column, weight: Callable[[Column], Column]) -> Column:
+    """(w, x, y) in one pass: the edges' weights, and their ends' coordinates times these, summed."""
+    add = lambda s, e: F.struct((s["w"] + weight(e)).alias("w"), *((s[f] + (e[f + "1"] + e[f + "2"]) * weight(e)).alias(f) for f in "xy"))
+    return F.aggregate(edges, F.struct(*(F.lit(0.0).alias(f) for f in "wxy")), add)
+
+
 def st_centroid(g: Column) -> Column:
     """A polygon's by the area of its first ring, a line's by the length of its edges, a point's own."""
-    ring = F.slice(g["rings"], F.lit(1), F.lit(1))
-    edges = F.flatten(F.transform(ring, _edges))
-    area = _sum(F.transform(edges, _cross)) / 2.0
-    by_area = lambda f: _sum(F.transform(edges, lambda e: (e[f + "1"] + e[f + "2"]) * _cross(e))) / (6.0 * F.when(area != 0, area))
-    whole = _sum(F.transform(_all_edges(g), lambda e: planar(e["x1"], e["y1"], e["x2"], e["y2"])))
-    by_length = lambda f: _sum(F.transform(_all_edges(g), lambda e: (e[f + "1"] + e[f + "2"]) / 2.0 * planar(e["x1"], e["y1"], e["x2"], e["y2"]))) / F.when(whole > 0, whole)
+    first = F.flatten(F.transform(F.slice(g["rings"], F.lit(1), F.lit(1)), _edges))
+    length = lambda e: planar(e["x1"], e["y1"], e["x2"], e["y2"])
+    sums = F.when(g["kind"] == "polygon", _weighted(first, _cross)).when(g["kind"] == "line", _weighted(_all_edges(g), length))
     mean = lambda f: _sum(F.transform(F.flatten(g["rings"]), lambda p: p[f])) / F.nullif(F.size(F.flatten(g["rings"])).cast("double"), F.lit(0.0))
-    at = lambda f: F.coalesce(F.when(g["kind"] == "polygon", by_area(f)).when(g["kind"] == "line", by_length(f)), mean(f))
-    return F.when(at("x").isNotNull(), _geometry("point", g["srid"], F.array(F.array(position(at("x"), at("y")))), g["geodetic"]))
+    at = lambda s, f: F.coalesce(s[f] / (F.nullif(s["w"], F.lit(0.0)) * F.when(g["kind"] == "polygon", 3.0).otherwise(2.0)), mean(f))
+    centre = F.transform(F.array(sums), lambda s: position(at(s, "x"), at(s, "y")))
+    return F.transform(centre, lambda p: F.when(p["x"].isNotNull(), _geometry("point", g["srid"], F.array(F.array(p)), g["geodetic"])))[0]
 
 
 # -- predicates of a polygon and a position
@@ -263,7 +267,7 @@ st_within = lambda a, b: st_contains(b, a)
 st_touches = _arrow("boolean", shapes.touches)
 st_distance = _arrow("double", shapes.distance)
 st_dwithin = _arrow("boolean", lambda a, b, d: shapes.distance(a, b) <= d)
-st_intersection = _arrow(GEOMETRY, shapes.intersection)
+_intersection = _arrow(GEOMETRY, shapes.intersection)
 st_buffer = _arrow(GEOMETRY, shapes.buffer)
 st_closestpoint = _arrow(GEOMETRY, shapes.closest_point)
 st_geomfromtext = _arrow(GEOMETRY, shapes.from_wkt)
@@ -272,6 +276,31 @@ st_asgeojson = _arrow("string", shapes.to_geojson)
 st_isvalid = _arrow("boolean", shapes.is_valid)
 st_transform = _arrow(GEOMETRY, shapes.transform)
 st_union = _arrow(GEOMETRY, lambda a, b: shapes.union([a, b]))
+
+
+def _corner(g: Column, i: int) -> Column:
+    return F.try_element_at(F.try_element_at(g["rings"], F.lit(1)), F.lit(i))
+
+
+def is_box(g: Column) -> Column:
+    """Whether a polygon is one ring along the axes, so that its first and third corners tell it."""
+    a, b, c, d = (_corner(g, i) for i in range(1, 5))
+    turns = lambda f, s: (a[f] == b[f]) & (b[s] == c[s]) & (c[f] == d[f]) & (d[s] == a[s])
+    closed = (a["x"] == _corner(g, 5)["x"]) & (a["y"] == _corner(g, 5)["y"])
+    single = (g["kind"] == "polygon") & (F.size(g["rings"]) == 1) & (F.size(F.try_element_at(g["rings"], F.lit(1))) == 5)
+    return F.coalesce(single & closed & (turns("x", "y") | turns("y", "x")), F.lit(False))
+
+
+def st_intersection(a: Column, b: Column) -> Column:
+    """What two shapes share. Two boxes are met in the plan itself; only other pairs go to Python."""
+    boxes = is_box(a) & is_box(b) & F.coalesce(a["srid"] == b["srid"], F.lit(False))
+    ends = lambda g, f: (F.least(_corner(g, 1)[f], _corner(g, 3)[f]), F.greatest(_corner(g, 1)[f], _corner(g, 3)[f]))
+    (x, x_to), (y, y_to) = ((F.greatest(ends(a, f)[0], ends(b, f)[0]), F.least(ends(a, f)[1], ends(b, f)[1])) for f in "xy")
+    corners = F.array(position(x, y), position(x, y_to), position(x_to, y_to), position(x_to, y), position(x, y))
+    shared = F.when((x < x_to) & (y < y_to), F.array(corners)).otherwise(F.slice(a["rings"], F.lit(1), F.lit(0)))
+    return F.when(boxes, _geometry("polygon", a["srid"], shared, a["geodetic"])).otherwise(_intersection(F.when(~boxes, a), F.when(~boxes, b)))
+
+
 union_of = _union  # of an array of geometries: st_union(collect_list(g))
 
 #: SQL functions by signature: result type and body.
@@ -307,7 +336,7 @@ _SQL = {
 }
 _SQL_ARROW = {
     "st_intersects": st_intersects, "st_contains": st_contains, "st_touches": st_touches, "st_distance": st_distance, "st_dwithin": st_dwithin,
-    "st_intersection": st_intersection, "st_buffer": st_buffer, "st_closestpoint": st_closestpoint, "st_geomfromtext": st_geomfromtext, "st_astext": st_astext,
+    "st_intersection": _intersection, "st_buffer": st_buffer, "st_closestpoint": st_closestpoint, "st_geomfromtext": st_geomfromtext, "st_astext": st_astext,
     "st_asgeojson": st_asgeojson, "st_isvalid": st_isvalid, "st_transform": st_transform, "st_union": st_union, "st_union_of": _union,
     "st_within": _arrow("boolean", lambda a, b: shapes.contains(b, a)),
     "st_area": _arrow("double", shapes.area_of), "st_length": _arrow("double", lambda g: shapes.length_of(g, "line")), "st_perimeter": _arrow("double", lambda g: shapes.length_of(g, "polygon")),

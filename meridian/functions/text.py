@@ -41,7 +41,7 @@ def tokens(sql: Column) -> Column:
 
 def geo_calls(sql: Column) -> Column:
     """The st_* functions that are called, sorted, repeats kept."""
-    return F.array_sort(F.regexp_extract_all(normalized(F.coalesce(sql, F.lit(""))), F.lit(_GEO_CALL), F.lit(0)))
+    return F.sort_array(F.regexp_extract_all(normalized(F.coalesce(sql, F.lit(""))), F.lit(_GEO_CALL), F.lit(0)))
 
 
 def is_blank(c: Column) -> Column:
@@ -109,7 +109,7 @@ def extracted_sql(answer: Column) -> Column:
 def numbered(items: Column) -> Column:
     """The items, each with its number among equal ones; sets of these intersect as the multisets do."""
     each = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("item"), (i + 1 - F.array_position(s, x)).cast("int").alias("n")))
-    return F.transform(F.array(F.array_sort(items)), each)[0]
+    return F.transform(F.array(F.sort_array(items)), each)[0]
 
 
 def common_size(a: Column, b: Column) -> Column:
@@ -126,7 +126,8 @@ def f1(p: Column, r: Column) -> Column:
 
 def overlap(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     """Precision, recall and F1 of multiset a against b, rounded to 4 places, with tp, fp and fn."""
-    counted = F.array(F.struct(common_size(a, b).alias("tp"), F.size(a).alias("n"), F.size(b).alias("m")))
+    once = F.array(F.struct(a.alias("a"), b.alias("b")))  # so that each side is worked out once
+    counted = F.transform(once, lambda s: F.struct(common_size(s["a"], s["b"]).alias("tp"), F.size(s["a"]).alias("n"), F.size(s["b"]).alias("m")))
 
     def scored(c: Column) -> Column:
         empty = (c["n"] == 0) & (c["m"] == 0)

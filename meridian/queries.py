@@ -195,10 +195,10 @@ def st_intersects_rect(spark, sf_dir):
     return overlapping(spark, sf_dir).select("n_nationkey", "p_partkey")
 
 
-@query(f"WITH {RECTANGLES} SELECT a.p_partkey AS a, b.p_partkey AS b FROM rectangles a JOIN rectangles b ON {_BOXES} WHERE a.p_partkey < b.p_partkey AND a.p_size > 40 AND b.p_size < 12")
+@query(f"WITH {RECTANGLES} SELECT a.p_partkey AS a, b.p_partkey AS b FROM rectangles a JOIN rectangles b ON {_BOXES} WHERE a.p_partkey < b.p_partkey")
 def st_intersects_self(spark, sf_dir):
     r = rectangles(spark, sf_dir)
-    a, b = (d.select(*(F.col(c).alias(f"{p}_{c}") for c in r.columns)) for d, p in ((r.where("p_size > 40"), "a"), (r.where("p_size < 12"), "b")))
+    a, b = (d.select(*(F.col(c).alias(f"{p}_{c}") for c in r.columns)) for d, p in ((r, "a"), (r, "b")))
     met = spatial.join_boxes(a, b, columns_box("a_"), columns_box("b_"), F.col("a_p_partkey") < F.col("b_p_partkey"), cell=0.1)
     return met.select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"))
 
@@ -225,12 +225,29 @@ def st_buffer_contains(spark, sf_dir):
     return pairs.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {CUSTOMERS}, {SUPPLIERS}, s AS (SELECT (2 * k + 1) * pi() / {geo.shapes.SIDES} AS angle FROM range({geo.shapes.SIDES}) r(k)),
+  near AS (SELECT s_suppkey, sx, sy, c_custkey, x, y FROM suppliers JOIN customers ON sqrt((sx - x) * (sx - x) + (sy - y) * (sy - y)) < 0.11)
+  SELECT s_suppkey, c_custkey FROM near JOIN s ON true GROUP BY s_suppkey, c_custkey HAVING max((x - sx) * cos(angle) + (y - sy) * sin(angle)) < 0.1 * cos(pi() / {geo.shapes.SIDES})""")
+def st_buffer_polygon(spark, sf_dir):
+    """Points inside the polygon that ST_Buffer makes: a side's normal says how far out it lies."""
+    areas = suppliers(spark, sf_dir).withColumn("area", geo.st_buffer(geo.st_makepoint(F.col("sx"), F.col("sy")), F.lit(0.1)))
+    met = spatial.join_points(areas, customers(spark, sf_dir), box_of("area"), F.col("x"), F.col("y"), geo.inside(F.col("area"), F.col("x"), F.col("y")), cell=0.2)
+    return met.select("s_suppkey", "c_custkey")
+
+
+@query(f"WITH {CUSTOMERS}, d AS (SELECT c_custkey, greatest(1.0 - x, 0, x - 2.5) AS dx, greatest(1.5 - y, 0, y - 3.0) AS dy FROM customers) SELECT c_custkey, round(sqrt(dx * dx + dy * dy), 6) AS distance, sqrt(dx * dx + dy * dy) <= 0.3 AS near FROM d")
+def st_dwithin_area(spark, sf_dir):
+    """ST_Distance and ST_DWithin of points and an area."""
+    area, place = geo.st_makeenvelope(*map(F.lit, (1.0, 1.5, 2.5, 3.0))), geo.st_makepoint(F.col("x"), F.col("y"))
+    return customers(spark, sf_dir).select("c_custkey", F.round(geo.st_distance(place, area), 6).alias("distance"), geo.st_dwithin(place, area, F.lit(0.3)).alias("near"))
+
+
 @query(f"WITH {RECTANGLES} SELECT p_partkey, round((xmax - xmin) * (ymax - ymin), 6) AS area, round(2 * ((xmax - xmin) + (ymax - ymin)), 6) AS perimeter, round((xmin + xmax) / 2, 6) AS cx, round((ymin + ymax) / 2, 6) AS cy FROM rectangles")
 def st_measures(spark, sf_dir):
     """ST_Area, ST_Boundary with ST_Length, and ST_Centroid."""
     g = geo.st_makeenvelope(*(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
-    rows = rectangles(spark, sf_dir).withColumn("g", g)
-    centre = geo.st_centroid(F.col("g"))
+    rows = rectangles(spark, sf_dir).withColumn("g", g).withColumn("centre", geo.st_centroid(F.col("g")))
+    centre = F.col("centre")
     return rows.select("p_partkey", F.round(geo.st_area(F.col("g")), 6).alias("area"), F.round(geo.st_length(geo.st_boundary(F.col("g"))), 6).alias("perimeter"), F.round(geo.st_x(centre), 6).alias("cx"), F.round(geo.st_y(centre), 6).alias("cy"))
 
 
@@ -414,7 +431,7 @@ def seeded_shuffle(spark, sf_dir):
 
 # -- reports over made-up scores
 
-_SCORES = "scores AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'base' ELSE 'finetuned' END AS model, l_linestatus AS level, CASE WHEN l_linenumber < 4 THEN 'd' || l_linenumber ELSE '' END AS division, l_discount AS v FROM lineitem)"
+_SCORES = "scores AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'base' ELSE 'finetuned' END AS model, l_linestatus AS level, CASE WHEN l_linenumber < 4 THEN 'd' || l_linenumber ELSE '' END AS division, l_discount AS v, l_quantity AS q FROM lineitem)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,13 +441,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(flat | {"token": part, "geo": part, "execution_match": F.col("q") > 25, "gold_executable": F.col("q") > 10})
 
 
-_MEANS_SQL = "count(*) AS n, round(avg(v), 4) AS token_f1"
+_MEANS_SQL = """count(*) AS n, round(avg(v), 4) AS token_f1, round(avg(v), 4) AS geospatial_precision, round(avg(v), 4) AS component_jaccard,
+  round(avg(CASE WHEN q > 10 THEN CASE WHEN q > 25 THEN 1.0::DOUBLE ELSE 0 END END), 4) AS execution_accuracy, count(*) AS geo_tp, count(*) AS geo_fn"""
 
 
 @query(f"""WITH {_SCORES} SELECT 'overall' AS scope, '' AS value, model, {_MEANS_SQL} FROM scores GROUP BY model UNION ALL SELECT 'level', level, model, {_MEANS_SQL} FROM scores GROUP BY level, model
   UNION ALL SELECT 'division', division, model, {_MEANS_SQL} FROM scores WHERE division <> '' GROUP BY division, model""")
 def summary_grouping_sets(spark, sf_dir):
-    return report.summary(scores(spark, sf_dir)).select("scope", "value", "model", "n", "token_f1")
+    return report.summary(scores(spark, sf_dir)).select("scope", "value", "model", "n", "token_f1", "geospatial_precision", "component_jaccard", "execution_accuracy", "geo_tp", "geo_fn")
 
 
 @query("SELECT CASE WHEN l_returnflag = 'R' THEN 'base' ELSE 'finetuned' END AS model, round(avg(CASE WHEN l_quantity > 10 THEN CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0 END END), 4) AS execution_accuracy FROM lineitem GROUP BY 1")
@@ -576,11 +594,11 @@ def label_mask(spark, sf_dir):
 _BATCHED = "b AS (SELECT p_partkey, p_size, (row_number() OVER (ORDER BY p_partkey) - 1) // 4 AS batch FROM part), w AS (SELECT *, CAST(ceil(max(p_size) OVER (PARTITION BY batch) / 8.0) * 8 AS INTEGER) AS size FROM b)"
 
 
-@query(f"WITH {_BATCHED} SELECT p_partkey, CAST(batch AS BIGINT) AS batch, size AS padded_to, array_to_string(list_concat(range(1, p_size + 1), list_transform(range(0, size - p_size), lambda i: 0)), ' ') AS input_ids, array_to_string(list_transform(range(0, size), lambda i: CASE WHEN i < p_size THEN 1 ELSE 0 END), ' ') AS attention_mask FROM w")
+@query(f"WITH {_BATCHED} SELECT p_partkey, CAST(batch AS BIGINT) AS batch, size AS padded_to, array_to_string(list_concat(range(1, p_size + 1), list_transform(range(0, size - p_size), lambda i: 0)), ' ') AS input_ids, array_to_string(list_transform(range(0, size), lambda i: CASE WHEN i < p_size THEN 1 ELSE 0 END), ' ') AS attention_mask, array_to_string(list_transform(range(0, size), lambda i: CASE WHEN i < p_size // 3 OR i >= p_size THEN -100 ELSE i + 1 END), ' ') AS labels FROM w")
 def pad_batch(spark, sf_dir):
     rows = sequences.padded_batches(sequences.batched(_tokens_of(spark, sf_dir), 4, ["p_partkey"]), "ids", "prompt", 0)
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
-    return rows.select("p_partkey", F.col("batch").cast("long").alias("batch"), "padded_to", joined("input_ids"), joined("attention_mask"))
+    return rows.select("p_partkey", F.col("batch").cast("long").alias("batch"), "padded_to", joined("input_ids"), joined("attention_mask"), joined("labels"))
 
 
 # -- what SQL does not express: rows only
@@ -594,6 +612,17 @@ def scored_pairs(spark, sf_dir):
     return s.select("p_partkey", "ast_equivalent", "structural_precision", "structural_recall", "structural_f1", "component_jaccard", "string_similarity", "failures")
 
 
+_WRONG = "(2 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END)"
+
+
+@query(f"""SELECT p_partkey, p_partkey % 7 <> 0 AND p_partkey % 5 = 0 AS ast_equivalent, CASE WHEN p_partkey % 7 = 0 THEN 0.0 WHEN p_partkey % 5 = 0 THEN 1.0 ELSE round((7 - {_WRONG}) / 7.0::DOUBLE, 4) END AS component_jaccard,
+  CASE WHEN p_partkey % 7 = 0 THEN 'parse_error' WHEN p_partkey % 5 = 0 THEN 'correct' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'wrong_join_condition,' ELSE '' END || CASE WHEN p_partkey % 2 = 1 THEN 'wrong_condition_value,' ELSE '' END || 'wrong_order_by,wrong_limit' END AS failures FROM part""")
+def pair_verdicts(spark, sf_dir):
+    """What is wrong with each pair's query follows from how PREDICTED makes it: of seven clauses, two to four differ."""
+    p = pairs(spark, sf_dir).select("p_partkey", "level", F.lit("").alias("division"), F.lit("base").alias("model"), "gold", "predicted")
+    return score.score_pairs(p).select("p_partkey", "ast_equivalent", "component_jaccard", F.array_join("failures", ",").alias("failures"))
+
+
 @query()
 def pair_reports(spark, sf_dir):
     p = pairs(spark, sf_dir).select("p_partkey", "gold", "predicted")
@@ -661,12 +690,12 @@ def as_of_join(spark, sf_dir):
     return seen.where("event_type = 'click'").select("event_id", "bought")
 
 
-@query("SELECT a.p_partkey AS a, count(*) AS n FROM part a JOIN part b ON b.p_retailprice BETWEEN a.p_retailprice AND a.p_retailprice + 0.5 WHERE a.p_size < 5 GROUP BY 1")
+@query("SELECT a.p_partkey AS a, count(*) AS n FROM part a JOIN part b ON b.p_retailprice BETWEEN a.p_retailprice AND a.p_retailprice + 0.5 GROUP BY 1")
 def interval_join(spark, sf_dir):
     """Prices in an interval: an equi-join on buckets as wide as the interval, then the exact test."""
     part = t(spark, sf_dir, "part")
     bucket = F.floor(F.col("p_retailprice") / 0.5)
-    a = part.where("p_size < 5").select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("low"), F.explode(F.array(bucket, bucket + 1)).alias("k"))
+    a = part.select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("low"), F.explode(F.array(bucket, bucket + 1)).alias("k"))
     b = part.select(F.col("p_retailprice").alias("price"), bucket.alias("k"))
     return a.join(b, "k").where((F.col("price") >= F.col("low")) & (F.col("price") <= F.col("low") + 0.5)).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
 
