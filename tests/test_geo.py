@@ -91,3 +91,19 @@ def test_sql_functions(spark):
     assert r.a == "POLYGON EMPTY" and r.d == pytest.approx(111195, abs=1) and r.w and r.i == 1.0 and r.s == 4674 and r.n and int(r.m) == 111195
     sums = spark.sql(to_spark("SELECT ST_AsText(ST_Extent(g)) AS e, ST_AsText(ST_Union(g)) AS u FROM (SELECT ST_MakePoint(x, x * 2) AS g FROM (VALUES (1), (2)) v(x)) t")).first()
     assert sums.e == "POLYGON((1 2,1 4,2 4,2 2,1 2))" and sums.u == "MULTIPOINT((1 2),(2 4))"
+
+
+def test_intersection_of_boxes_and_others(spark):
+    """Boxes are met in the plan, other pairs in Python: both give the area that the shapes share, an empty one too."""
+    made = [(0.0, 0.0, 2.0, 2.0), (1.0, 1.0, 3.0, 3.0), (2.0, 0.0, 4.0, 1.0), (5.0, 5.0, 6.0, 6.0), (0.5, 0.5, 1.0, 1.5)]
+    texts = ["POLYGON((0 0,2 0,2 2,0 2,0 0))", "POLYGON((0 0,4 0,0 4,0 0))"]
+    boxes = spark.createDataFrame([(i, *b) for i, b in enumerate(made)], "i int, a double, b double, c double, d double").select("i", geo.st_makeenvelope(*(F.col(c) for c in "abcd")).alias("g"))
+    others = spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)], "i int, t string").select("i", geo.st_geomfromtext("t").alias("g"))
+    rows = boxes.unionByName(others)
+    pairs = rows.join(rows.select(F.col("i").alias("j"), F.col("g").alias("h")), F.col("i") <= F.col("j"))
+    for r in pairs.select("i", "j", "g", "h", geo.st_intersection(F.col("g"), F.col("h")).alias("x")).collect():
+        plain = [{**s.asDict(), "rings": [[{"x": p.x, "y": p.y} for p in ring] for ring in s.rings]} for s in (r.g, r.h, r.x)]
+        wanted = shapes.intersection(plain[0], plain[1])
+        assert shapes.area_of(plain[2]) == shapes.area_of(wanted) and shapes.box(plain[2]) == shapes.box(wanted), (r.i, r.j)
+    nothing = spark.range(1).select(geo.st_intersection(F.lit(None).cast(geo.GEOMETRY), geo.st_makeenvelope(*map(F.lit, made[0]))).alias("x"))
+    assert nothing.first().x is None
