@@ -21,7 +21,7 @@ whole, in blocks of shingles. An empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -41,12 +41,20 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
+
+    def block(at: int) -> np.ndarray:
         part = words[at : at + BLOCK + shingle - 1]
         joined = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        hashes = np.fromiter(map(_hash, joined), "<u8")
+        return np.fromiter(map(_hash, joined), "<u8")
+
+    return majority(map(block, range(0, max(1, len(words) - shingle + 1), BLOCK)))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingles with these hashes (64 bits each, in blocks): the bits set in over half of them."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 

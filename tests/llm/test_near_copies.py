@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import prose
 
-from meridian.llm import near_copies
+from meridian.llm import near_copies, simhash
 
 
 def brute_set(text):
@@ -80,3 +80,22 @@ def test_frequent_passages_move_back(spark, monkeypatch):
     assert before > 30 > 10 >= max((r.rows for r in twice.collect()), default=0)
     got = near_copies.distinct_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == brute_roots(texts)
+
+
+def far_apart(a, b):
+    return bin((a ^ b) & (1 << 64) - 1).count("1")
+
+
+def test_fingerprints_link_and_their_links_are_verified(spark, monkeypatch):
+    """Without any prefix, what operator 8 links within two bits is linked still, if the sets are similar."""
+    print_of = lambda t: simhash.fingerprint(t, near_copies.WIDTH)
+    a = prose(5, 900)
+    near = next(x for x in (edited(random.Random(s), a, 1) for s in range(1000)) if 0 < far_apart(print_of(a), print_of(x)) <= 2)
+    again, tails = " ".join(["a b c d e"] * 30), [prose(70, 10), prose(71, 10)]
+    other = [f"{again} {t}" for t in tails]
+    assert print_of(other[0]) == print_of(other[1]) and len(brute_roots(other)) == 2
+    places = near_copies.shared_places
+    monkeypatch.setattr(near_copies, "shared_places", lambda *x: places(*x).where("false"))
+    got = near_copies.distinct_documents(spark.createDataFrame(list(enumerate([a, near, *other])), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {0, 2, 3}
+    assert simhash.majority([near_copies.sequence(a)[:500], near_copies.sequence(a)[500:]]) == print_of(a)
