@@ -99,3 +99,21 @@ def test_fingerprints_link_and_their_links_are_verified(spark, monkeypatch):
     got = near_copies.distinct_documents(spark.createDataFrame(list(enumerate([a, near, *other])), "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == {0, 2, 3}
     assert simhash.majority([near_copies.sequence(a)[:500], near_copies.sequence(a)[500:]]) == print_of(a)
+
+
+@pytest.mark.parametrize("many", [0, 4])
+def test_candidates_of_a_large_group_stay_in_proportion(spark, many, monkeypatch):
+    """Near copies of one text, changed at one to eight places: compared with the least changed one, not with each other."""
+    monkeypatch.setattr(near_copies, "MANY", many, raising=False)
+    rng, base = random.Random(3), prose(50, 150)
+    texts = [base, *(edited(rng, base, 1 + i % 8) for i in range(400))]
+    seen, verified = [], near_copies.verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    got = near_copies.distinct_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == brute_roots(texts)
+    assert sum(seen) < 8 * len(texts), seen
