@@ -14,10 +14,13 @@ them. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from meridian.llm.common import quoted, small_batches, tidy, whole_text
-from meridian.llm.tokens import CACHE_BYTES, Memo, mapped, vocabulary
+from meridian.llm.tokens import CACHE_BYTES, LONGEST_KEY, Memo, mapped, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END = 4096, 2
@@ -37,19 +41,31 @@ CAPACITY, END = 4096, 2
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters whose normal form and lower case are the same by every version of Unicode.
 _PLAIN = regex.compile(r"[\x21-\x7E\xA1-įı-ɏ]*")
+_PLAIN_TEXT = re.compile(r"[\t\n\r\x20-\x7E\xA1-įı-ɏ]*")
+#: Characters of texts that are split together, and words that the library gets in one string.
+GROUP, TOGETHER = 1 << 18, 128
+_BLANK = mapped(b" ")
 
 
 class Words:
     """Token ids by the tokenizers library, each blank-delimited word encoded once by a worker.
 
     The vocabulary drops white space and never joins what it parts, so a text's ids are those of its words, unless
-    it holds a special token's string; such a text goes to the library whole, as does a word with unusual characters."""
+    it holds a special token's string; such a text goes to the library whole, as does a word with unusual characters.
+    Texts without unusual characters are normalised whole, and the words of several that the cache lacks are merged together."""
 
     def __init__(self, path: str, cache_bytes: int = 2 * CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.word = Memo(self._word, cache_bytes)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.merges = Tokenizer(self.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        suffix = self.model.end_of_word_suffix
+        ids = {i: bool(suffix) and t.endswith(suffix) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.last = np.zeros(max(ids, default=0) + 1, bool)  # tokens that end a word
+        self.last[[i for i, ends in ids.items() if ends]] = True
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
@@ -70,6 +86,45 @@ class Words:
         raw = self._whole(text) if self.special.search(text) else b"".join(map(self.word.__getitem__, text.replace("\n", " ").split(" ")))
         return np.frombuffer(raw, "<u4")
 
+    def ids_of(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """ids() of each text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._together(group)
+                group, size = [], 0
+        yield from self._together(group)
+
+    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [not self.special.search(t) and bool(_PLAIN_TEXT.fullmatch(t)) for t in texts]
+        parted = [unicodedata.normalize("NFC", t).lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        found = [[*map(self.word.get, parts)] for parts in parted]
+        self._learn({w for parts, ids in zip(parted, found, strict=True) for w, x in zip(parts, ids, strict=True) if x is None})
+        for text, p, parts, ids in zip(texts, plain, parted, found, strict=True):
+            yield np.frombuffer(b"".join([x if x is not None else self.word[w] for w, x in zip(parts, ids, strict=True)]), "<u4") if p else self.ids(text)
+
+    def _learn(self, lowered: set[str]) -> None:
+        """Puts normalised plain words into the cache; long ones it does not keep anyway."""
+        lowered = [w for w in lowered if len(w) <= LONGEST_KEY]
+        parted = {w: SPLIT.findall(w) for w in lowered if not w.isalpha()}
+        if self.word.room < 0:
+            self.word.emptied()
+        parts = {w for w in lowered if w not in parted}
+        parts.update(x for x in set().union(*parted.values()) if x not in self.word)
+        parts, strings = [*parts], []
+        for at in range(0, len(parts), TOGETHER):
+            s = " ".join(parts[at : at + TOGETHER])
+            strings.append(s if s.isascii() else mapped(s.encode()).replace(_BLANK, " "))
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.merges.encode_batch_fast(strings, add_special_tokens=False)), "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(parts):  # a vocabulary that does not mark where words end
+            return
+        raw = ids.tobytes()
+        self.word.keep({x: raw[start:end] for x, start, end in zip(parts, [0, *ends], ends)})
+        self.word.keep({w: b"".join(map(self.word.__getitem__, own)) for w, own in parted.items() if own != [w]})
+
 
 @cache
 def words(path: str, cache_bytes: int = 2 * CACHE_BYTES) -> Words:
@@ -159,8 +214,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
         for b in small_batches(batches):
             kind = b.schema.field("id").type
-            for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(w.ids(text), np.uint32(end)).astype("<u4")
+            for doc_id, ids in zip(b.column("id").to_pylist(), w.ids_of(b.column("text").to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end)).astype("<u4")
                 put(packer.add((doc_id, len(ids)), ids))
             if out:
                 yield batch()

@@ -64,7 +64,7 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
     block = 256
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    value = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")] if group else []
 
     def spans(parts: Column) -> Column:
         lengths = parts["lengths"]
@@ -79,15 +79,12 @@ def _hits(text: Column, pattern: str, group: int = 0) -> Column:
             lambda x: F.struct((x["at"] + F.length(x["gap"])).alias("start"), (x["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["value"].alias("value")),
         )
 
-    def parts() -> Column:
-        matched = F.transform(F.arrays_zip(found.alias("f"), value.alias("v"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: x)
-        return F.struct(
-            F.transform(matched, lambda x: F.length(x["g"]) + F.length(x["f"])).alias("lengths"),
-            F.transform(matched, lambda x: x["g"]).alias("gaps"), F.transform(matched, lambda x: x["f"]).alias("found"), F.transform(matched, lambda x: x["v"]).alias("value"),
-        )
+    def parts(x: Column) -> Column:
+        before = F.slice(x["gaps"], F.lit(1), F.size(x["found"]))
+        return F.struct(F.zip_with(before, x["found"], lambda g, f: F.length(g) + F.length(f)).alias("lengths"), before.alias("gaps"), x["found"].alias("found"), x["value" if group else "found"].alias("value"))
 
-    # A one-element array binds what the spans need, so that it is computed once.
-    spans_of = F.transform(F.array(parts()), spans)[0]
+    # One-element arrays bind what the next step needs, so that it is computed once.
+    spans_of = F.transform(F.transform(F.array(F.struct(found.alias("found"), gaps.alias("gaps"), *value)), parts), spans)[0]
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.when(text.rlike(pattern), spans_of).otherwise(none)
 
@@ -162,8 +159,12 @@ def _with_rest(docs: DataFrame, text: str, rest: str) -> DataFrame:
 
 
 def _candidates(rest: Column) -> Column:
+    """Runs and what weighed() says of them. Most texts have none, which takes no offsets to see."""
     runs = F.filter(_hits(rest, RANDOM), lambda h: h["value"].rlike(MIXED))
-    return F.transform(runs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), weighed(h["value"]).alias("t")))
+    found = F.transform(runs, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), weighed(h["value"]).alias("t")))
+    mixed = rest.rlike(MIXED) & F.exists(F.regexp_extract_all(rest, F.lit(RANDOM), F.lit(0)), lambda v: v.rlike(MIXED))
+    none = F.array().cast("array<struct<start:int,end:int,t:struct<encoding:string,random:boolean,step:int,stratum:int>>>")
+    return F.when(mixed, found).otherwise(none)
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, int]:
