@@ -1,7 +1,8 @@
 """Scores predicted SQL against gold SQL, a row for each pair.
 
-Text and spatial measures are Column expressions. Trees need a parser: one Arrow function parses each pair that
-occurs once, however many rows have it, and its results are joined back. Texts that are too long are told before it.
+Text and spatial measures are Column expressions; trees need a parser, an Arrow function. All of them follow from a pair's
+two texts, so each pair that occurs is measured once, however many rows have it, and its measures are joined back. Texts
+that are too long are told before it.
 """
 
 from __future__ import annotations
@@ -74,23 +75,25 @@ def score_pairs(pairs: DataFrame, execution: DataFrame | None = None, legacy: bo
     failed = F.col("execution_error").isNotNull()
     keys = ["predicted", "gold", "failed"]
     rows = rows.withColumn("failed", failed)
-    trees = rows.select(*keys).distinct().withColumn("tree", tree_scores(F.col("predicted"), F.col("gold"), F.col("failed"), legacy))
-    trees = trees.withColumnsRenamed({k: f"__{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    scored = rows.join(trees, match[0] & match[1] & match[2], "left").drop(*(f"__{k}" for k in keys), "failed")
     p, g = F.col("predicted"), F.col("gold")
     blank = text.is_blank(p)
+    measures = {
+        "tree": tree_scores(p, g, F.col("failed"), legacy), "string_exact": text.normalized(F.coalesce(p, F.lit(""))) == text.normalized(F.coalesce(g, F.lit(""))),
+        "string_similarity": text.similarity(p, g), "token": text.token_scores(p, g), "geo": text.geo_scores(p, g), "predicted_functions": text.geo_calls(p), "gold_functions": text.geo_calls(g),
+    }
+    measured = rows.select(*keys).distinct().select(*keys, F.struct(*(c.alias(n) for n, c in measures.items())).alias("measured"))
+    measured = measured.withColumnsRenamed({k: f"__{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    scored = rows.join(measured, match[0] & match[1] & match[2], "left").drop(*(f"__{k}" for k in keys), "failed")
+    tree = F.col("measured.tree")
     return scored.select(
-        *[c for c in scored.columns if c not in ("tree", "execution_match")],
+        *[c for c in scored.columns if c not in ("measured", "execution_match")],
         F.when(blank & F.col("gold_executable"), F.coalesce("execution_match", F.lit(False))).otherwise(F.col("execution_match")).alias("execution_match"),
-        *(F.col(f"tree.{x}").alias(x) for x in ("ast_equivalent", "structural_precision", "structural_recall", "structural_f1", "components", "parse_error", "failures")),
-        F.when(blank, 0.0).otherwise(F.col("tree.component_jaccard")).alias("component_jaccard"),
-        (text.normalized(F.coalesce(p, F.lit(""))) == text.normalized(F.coalesce(g, F.lit("")))).alias("string_exact"),
-        text.similarity(p, g).alias("string_similarity"),
-        text.token_scores(p, g).alias("token"),
-        text.geo_scores(p, g).alias("geo"),
-        (text.geo_calls(p) == text.geo_calls(g)).alias("spatial_exact"),
-        text.geo_calls(p).alias("predicted_functions"), text.geo_calls(g).alias("gold_functions"),
+        *(tree[x].alias(x) for x in ("ast_equivalent", "structural_precision", "structural_recall", "structural_f1", "components", "parse_error", "failures")),
+        F.when(blank, 0.0).otherwise(tree["component_jaccard"]).alias("component_jaccard"),
+        *(F.col(f"measured.{x}").alias(x) for x in ("string_exact", "string_similarity", "token", "geo")),
+        (F.col("measured.predicted_functions") == F.col("measured.gold_functions")).alias("spatial_exact"),
+        *(F.col(f"measured.{x}").alias(x) for x in ("predicted_functions", "gold_functions")),
     )
 
 

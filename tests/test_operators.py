@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from meridian import queries
 from meridian.functions import console
-from meridian.operators import compare, report, sequences, split
+from meridian.operators import compare, report, score, sequences, split
 from meridian.plans import execute
 from meridian.plans.dialect import to_spark
 from meridian.sources import files
@@ -205,3 +206,11 @@ def test_nearest_of_far_points(spark, ox, oy):
     found = spatial.nearest(spark.createDataFrame(a, "k long, x double, y double"), spark.createDataFrame(b, "j long, sx double, sy double"), "k", (F.col("x"), F.col("y")), (F.col("sx"), F.col("sy")), 3, ["j"], 0.3)
     want = {(k, n + 1, j) for k, x, y in a for n, (_, j) in enumerate(sorted((((sx - x) ** 2 + (sy - y) ** 2) ** 0.5, j) for j, sx, sy in b)[:3])}
     assert {(r.k, r["rank"], r.j) for r in found.collect()} == want
+
+
+def test_pairs_are_measured_once(spark):
+    pairs = spark.createDataFrame([(i, "select a from t", "SELECT a FROM t WHERE ST_X(g) > 1" if i % 2 else None) for i in range(20)], "i int, predicted string, gold string")
+    scored = score.score_pairs(pairs)
+    assert scored.count() == 20 and scored.select("gold", "string_similarity", "token", "geo", "spatial_exact").distinct().count() == 2
+    above, _, below = scored._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftOuter")
+    assert "EvalPython" not in above and "EvalPython" in below
