@@ -692,12 +692,20 @@ def as_of_join(spark, sf_dir):
 
 @query("SELECT a.p_partkey AS a, count(*) AS n FROM part a JOIN part b ON b.p_retailprice BETWEEN a.p_retailprice AND a.p_retailprice + 0.5 GROUP BY 1")
 def interval_join(spark, sf_dir):
-    """Prices in an interval: an equi-join on buckets as wide as the interval, then the exact test."""
-    part = t(spark, sf_dir, "part")
-    bucket = F.floor(F.col("p_retailprice") / 0.5)
-    a = part.select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("low"), F.explode(F.array(bucket, bucket + 1)).alias("k"))
-    b = part.select(F.col("p_retailprice").alias("price"), bucket.alias("k"))
-    return a.join(b, "k").where((F.col("price") >= F.col("low")) & (F.col("price") <= F.col("low") + 0.5)).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    """Prices in an interval: how many rows lie up to its end less how many before it, so no pair is made.
+
+    Both come from one running total over the distinct prices and the ends of their intervals."""
+    from meridian.operators.ordering import running_totals
+
+    part = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_retailprice").alias("low")).where("low IS NOT NULL")
+    prices = part.groupBy("low").agg(F.count(F.lit(1)).alias("rows"))
+    end = lambda at, kind, rows: F.struct(at.alias("at"), F.lit(kind).alias("kind"), rows.alias("rows"))
+    # At one price: first the intervals that begin there, then its rows, then the intervals that end there.
+    ends = F.array(end(F.col("low"), 0, F.lit(0).cast("long")), end(F.col("low"), 1, F.col("rows")), end(F.col("low") + 0.5, 2, F.lit(0).cast("long")))
+    placed = prices.select("low", F.explode(ends).alias("e")).select("low", "e.*")
+    total = running_totals(placed, [F.col("at"), F.col("kind")], F.col("rows"), "total")
+    counts = total.where("kind <> 1").groupBy("low").agg((F.max(F.when(F.col("kind") == 2, F.col("total"))) - F.max(F.when(F.col("kind") == 0, F.col("total")))).alias("n"))
+    return part.groupBy("a", "low").agg(F.count(F.lit(1)).alias("times")).join(counts, "low").groupBy("a").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
 
 
 @query()

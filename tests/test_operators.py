@@ -208,6 +208,16 @@ def test_nearest_of_far_points(spark, ox, oy):
     assert {(r.k, r["rank"], r.j) for r in found.collect()} == want
 
 
+def test_interval_join_makes_no_pairs(spark, tmp_path):
+    """Rows of one price count each other without being joined to each other."""
+    prices = [10.0] * 40 + [10.25, 10.5, 10.75, 9.5, 9.75, None]
+    spark.createDataFrame(list(enumerate(prices)), "p_partkey long, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = queries.interval_join(spark, str(tmp_path))
+    want = {(i, sum(q is not None and p <= q <= p + 0.5 for q in prices)) for i, p in enumerate(prices) if p is not None}
+    assert {tuple(r) for r in df.collect()} == want
+    assert "floor" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_pairs_are_measured_once(spark):
     pairs = spark.createDataFrame([(i, "select a from t", "SELECT a FROM t WHERE ST_X(g) > 1" if i % 2 else None) for i in range(20)], "i int, predicted string, gold string")
     scored = score.score_pairs(pairs)
