@@ -81,3 +81,31 @@ def test_distances_round_the_earth(spark, views, metres):
 def test_registered_plans(spark, sf, name):
     p = plan(queries.QUERIES[name](spark, sf))
     assert "NestedLoop" not in p and "CartesianProduct" not in p
+
+
+def test_inside_equals_brute_force(spark, views):
+    """Polygons of any form: circles around their middles decide most points, edges the rest."""
+    areas, points = spark.table("areas").select("id", "g"), spark.table("world").select(F.col("id").alias("k"), (F.col("x") / 20.0).alias("x"), (F.col("y") / 10.0).alias("y"))
+    got = {(r.id, r.k) for r in spatial.join_inside(areas, points, "g", F.col("x"), F.col("y")).collect()}
+    want = {(i, k) for i, g in views[0] for k, x, y in views[2] if shapes.place(g, (x / 20.0, y / 10.0)) > 0}
+    assert got == want and want
+
+
+def test_nearest_in_crowds(spark):
+    """Most points in a few places and close together: the first cell follows them, results are those of brute force."""
+    rng = random.Random(8)
+    spots = [(i, 1.0, 1.0) for i in range(60)] + [(60 + i, 1 + rng.random() / 500, 1 + rng.random() / 500) for i in range(400)] + [(500, 9.0, -7.0), (501, -40.0, 3.0)]
+    seek = [(i, rng.uniform(0.9, 1.1), rng.uniform(0.9, 1.1)) for i in range(80)] + [(80, 50.0, 50.0), (81, 1.0, 1.0)]
+    a, b = spark.createDataFrame(seek, "k int, x double, y double"), spark.createDataFrame(spots, "s int, sx double, sy double")
+    b_xy = (F.col("sx"), F.col("sy"))
+    assert spatial._first_cell(b, b_xy, 2, 0.3) < 0.01
+    got = {(r.k, r["rank"], r.s) for r in spatial.nearest(a, b, "k", (F.col("x"), F.col("y")), b_xy, 2, ["s"], 0.3).collect()}
+    near = lambda x, y: sorted((math.sqrt((p - x) * (p - x) + (q - y) * (q - y)), s) for s, p, q in spots)[:2]
+    assert got == {(k, n + 1, s) for k, x, y in seek for n, (_, s) in enumerate(near(x, y))}
+
+
+def test_pairs_are_dealt_to_many_tasks(spark, sf):
+    """Small files broadcast a side and leave all pairs to the few tasks that read the other; joins on cells are shuffled."""
+    for name in ("st_dwithin_join", "st_buffer_contains", "st_buffer_polygon", "st_intersects_self", "st_contains_join"):
+        p = plan(queries.QUERIES[name](spark, sf))
+        assert "REPARTITION_BY_NUM" in p and "SortMergeJoin" in p and "BroadcastHashJoin" not in p
