@@ -109,3 +109,19 @@ def test_pairs_are_dealt_to_many_tasks(spark, sf):
     for name in ("st_dwithin_join", "st_buffer_contains", "st_buffer_polygon", "st_intersects_self", "st_contains_join"):
         p = plan(queries.QUERIES[name](spark, sf))
         assert "REPARTITION_BY_NUM" in p and "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+@pytest.mark.parametrize("name", ["ST_Contains", "ST_Within", "ST_Intersects", "ST_Touches", "ST_DWithin"])
+def test_points_and_boxes_are_tested_in_the_join(spark, views, name):
+    """Corners, edges, insides and equal shapes; Python sees no pair of two points or boxes."""
+    box = lambda a, b, c, d: shapes.make("polygon", [[(a, b), (a, d), (c, d), (c, b), (a, b)]], srid=4674)
+    point = lambda x, y: shapes.make("point", [[(x, y)]], srid=4674)
+    given = [box(0, 0, 4, 4), box(0, 0, 4, 4), box(1, 1, 2, 2), box(4, 0, 6, 2), box(4, 4, 5, 5), box(0, 1, 4, 2), box(-1, 2, 7, 3), box(9, 9, 10, 10)]
+    given += [point(0, 0), point(1, 1), point(1, 1), point(4, 3), point(2, 3), point(9.5, 9.5), shapes.make("polygon", [[(0, 0), (3, 0), (0, 3), (0, 0)]], srid=4674)]
+    rows = list(enumerate(given))
+    spark.createDataFrame(rows, f"id int, g {geo.GEOMETRY}").createOrReplaceTempView("mixed")
+    test = {"ST_Contains": shapes.contains, "ST_Within": lambda a, b: shapes.contains(b, a), "ST_Intersects": shapes.intersects, "ST_Touches": shapes.touches, "ST_DWithin": lambda a, b: shapes.distance(a, b) <= 1.0}[name]
+    df = spark.sql(to_spark(f"SELECT a.id AS i, b.id AS j FROM mixed a JOIN mixed b ON {name}(a.g, b.g{', 1.0' if 'DW' in name else ''})"))
+    assert sorted((r.i, r.j) for r in df.collect()) == sorted((i, j) for i, a in rows for j, b in rows if test(a, b))
+    assert "CASE WHEN NOT coalesce" in to_spark(f"SELECT 1 FROM mixed a JOIN mixed b ON {name}(a.g, b.g{', 1.0' if 'DW' in name else ''})")
+    assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
